@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstream.llm import oversized
+from leafstream.llm import encoding, oversized
 from leafstream.sources.tables import table
 
 
@@ -22,7 +22,17 @@ def p1_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return oversized.split_oversized(*_tables(spark, directory, "chunks", "jobs", "dispatch_settings"))
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return encoding.damaged_found(table(spark, directory, "chunks"))
+
+
+def p3_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return encoding.repair_elements(table(spark, directory, "chunks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
 }

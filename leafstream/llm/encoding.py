@@ -340,7 +340,7 @@ def _fits(prev: str, c: str, following: str) -> float:
             return 0.5 if c == "à" else -1.0
         if following.isupper() or prev in ".?!,…":
             return -2.0
-        return 1.0
+        return 0.8 if c in "òìùãõåøëÿæ" else 1.0
     if c in _WEST_LARGE:
         if prev.islower():
             return -2.0
@@ -380,6 +380,8 @@ def _western(text: str) -> tuple[str, list[str]]:
         chars = list(padded)
         gain = 0.0
         for i, now in fits.items():
+            if now >= 0.5:
+                continue
             b = page.get(text[i])
             c = LOST if b is None else bytes([b]).decode("cp1252", "replace")
             if c != LOST and (more := _fits(padded[i], c, padded[i + 2]) - now) > 0:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstream.llm import encoding, oversized
+from leafstream.llm import encoding, oversized, pairs
 from leafstream.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p1_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return oversized.split_oversized(*_tables(spark, directory, "chunks", "jobs", "dispatch_settings"))
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pairs.defects_found(table(spark, directory, "recent_parts"))
+
+
+def p2_labels(spark: SparkSession, directory: str) -> DataFrame:
+    return pairs.label_pairs(table(spark, directory, "recent_parts"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.damaged_found(table(spark, directory, "chunks"))
 
@@ -33,6 +41,8 @@ def p3_repaired(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_labels": p2_labels,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
 }

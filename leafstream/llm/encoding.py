@@ -71,7 +71,7 @@ _SPANS = {name: _automaton(page, name == "cp1252") for name, page in _BYTES.item
 _CYRILLIC = re.compile("[А-яЁё]")
 _ARABIC = re.compile("[ء-غف-ْٰٓٔپچژکگۀی۰-۹٠-٩،؛؟ـ‌]")
 _HAN = re.compile("[一-鿿　-〃《-】！-／：-？０-９]")
-_MARKS = re.compile("[ -¿‌-‏‐-‧‰-›€™№−]")
+_MARKS = re.compile("[\xa0-\xbf\u200c-\u200f\u2010-\u2027\u2030-\u203a€™№−]")
 _LATIN = re.compile("[À-ÿŒœŠšŽžŸƒ]")
 
 
@@ -362,7 +362,7 @@ def _fits(prev: str, c: str, following: str) -> float:
 
 _PLAIN = re.compile("[A-Za-z]")
 _OTHER = re.compile("[Ѐ-ӿ؀-ۿ一-鿿]")
-_BLANKS = "\xa0\xad  ​‌‍‎‏⁠﻿　�" + "".join(map(chr, range(0x2000, 0x200B)))
+_BLANKS = "\xa0\xad\u202f\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u3000" + LOST + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _western(text: str) -> tuple[str, list[str]]:

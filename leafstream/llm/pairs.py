@@ -33,7 +33,7 @@ CLIP = 6000
 
 _MARKER = re.compile(r"<<<\s*\d+\s*>>>")
 _FENCE = re.compile(r"```[\w+-]*")
-_INVISIBLE = re.compile("[\xad​‌‍‎‏‪-‮⁠-⁤⁦-⁩️﻿]")
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe0f\ufeff]")
 _FORMS = str.maketrans("يىك٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ییک01234567890123456789")
 
 

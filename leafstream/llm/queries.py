@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstream.llm import encoding, oversized, pairs
+from leafstream.llm import encoding, lookalike, oversized, pairs
 from leafstream.sources.tables import table
 
 
@@ -38,6 +38,14 @@ def p3_repaired(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.repair_elements(table(spark, directory, "chunks"))
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return lookalike.alike_found(*_tables(spark, directory, "recent_parts", "chunks"))
+
+
+def p4_consistent(spark: SparkSession, directory: str) -> DataFrame:
+    return lookalike.consistent(*_tables(spark, directory, "recent_parts", "chunks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -45,4 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_labels": p2_labels,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
+    "p4_found": p4_found,
+    "p4_consistent": p4_consistent,
 }

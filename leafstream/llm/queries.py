@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstream.llm import encoding, lookalike, oversized, pairs
+from leafstream.llm import encoding, lookalike, mixing, oversized, packing, pairs
+from leafstream.llm.tokens import token_sizes
 from leafstream.sources.tables import table
 
 
@@ -46,6 +47,26 @@ def p4_consistent(spark: SparkSession, directory: str) -> DataFrame:
     return lookalike.consistent(*_tables(spark, directory, "recent_parts", "chunks"))
 
 
+def p5_packed(spark: SparkSession, directory: str) -> DataFrame:
+    documents, sizes = _tables(spark, directory, "documents", "container_sizes")
+    return packing.pack(token_sizes(documents), sizes)
+
+
+def p5_report(spark: SparkSession, directory: str) -> DataFrame:
+    documents, sizes = _tables(spark, directory, "documents", "container_sizes")
+    return packing.report(packing.pack(token_sizes(documents), sizes))
+
+
+def p6_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    documents, targets = _tables(spark, directory, "documents", "mix_targets")
+    return mixing.select(token_sizes(documents), targets)
+
+
+def p6_shares(spark: SparkSession, directory: str) -> DataFrame:
+    documents, targets = _tables(spark, directory, "documents", "mix_targets")
+    return mixing.shares(token_sizes(documents), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -55,4 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_consistent": p4_consistent,
+    "p5_packed": p5_packed,
+    "p5_report": p5_report,
+    "p6_mixed": p6_mixed,
+    "p6_shares": p6_shares,
 }

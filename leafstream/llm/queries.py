@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstream.llm import encoding, lookalike, mixing, oversized, packing, pairs
+from leafstream.llm import encoding, lookalike, mixing, oversized, packing, pairs, personal, surrogates
 from leafstream.llm.tokens import token_sizes
 from leafstream.sources.tables import table
 
@@ -67,6 +67,14 @@ def p6_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(token_sizes(documents), targets)
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return personal.personal_found(table(spark, directory, "documents"))
+
+
+def p7_pseudonymized(spark: SparkSession, directory: str) -> DataFrame:
+    return surrogates.pseudonymize(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -80,4 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_report": p5_report,
     "p6_mixed": p6_mixed,
     "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_pseudonymized": p7_pseudonymized,
 }

@@ -1 +1 @@
-"""Part of the leafstream engine."""
+"""Column functions: text, prompts and answers, provider configuration, errors and progress."""

@@ -1 +1 @@
-"""Part of the leafstream engine."""
+"""Operators on tables of segments, chunks, providers and attempts."""

@@ -5,6 +5,602 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafstream.functions import progress, prompts
+from leafstream.functions import providers as P
+from leafstream.functions import text as T
+from leafstream.operators import cache, chunking, layouts, segmentation, telemetry
+from leafstream.operators import providers as pools
+from leafstream.operators.dispatch import Key, Provider, Settings, dispatch
+from leafstream.operators.services import Echo
+from leafstream.plans import run_tables as R
+from leafstream.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# ---- shared parts of the SQL -------------------------------------------------------------------------------
+
+_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WITH = rf"""
+    chunk AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY attempts DESC NULLS LAST, queued_at DESC NULLS LAST) AS rn
+        FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1
+    ),
+    segment AS (
+        SELECT chunk_id, job_id, file_hash, chunk_no, CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS text_no,
+               unnest(seg_ids) AS seg_id, unnest(texts) AS txt
+        FROM chunk
+    ),
+    part AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY logged_at DESC NULLS LAST) AS rn
+        FROM recent_parts WHERE part_id IS NOT NULL) WHERE rn = 1
+    ),
+    attempt AS (
+        SELECT * EXCLUDE (rn, provider), lower(trim(provider)) AS provider FROM (
+            SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY logged_at DESC NULLS LAST) AS rn
+            FROM attempts WHERE attempt_id IS NOT NULL) WHERE rn = 1
+    ),
+    setting AS (
+        SELECT j.job_id, coalesce(s.max_chars, 2500) AS max_chars, coalesce(s.persian_digits, false) AS persian_digits,
+               coalesce(s.run_mode, 'translate') AS mode, j.status, j.filename
+        FROM jobs j LEFT JOIN dispatch_settings s USING (settings_id)
+    ),
+    saved AS (
+        SELECT p.file_hash, s.mode, sha1(c.texts[1]) AS seg_sha1, p.translation, p.finished_at AS written_at
+        FROM part p JOIN chunk c USING (chunk_id) JOIN setting s ON s.job_id = c.job_id
+        WHERE len(c.texts) = 1 AND c.texts[1] IS NOT NULL
+    ),
+    kept AS (
+        SELECT file_hash, mode, seg_sha1, arg_max(translation, (written_at, translation)) AS translation
+        FROM saved WHERE file_hash IS NOT NULL AND translation IS NOT NULL AND written_at IS NOT NULL GROUP BY ALL
+    )
+"""
+
+
+def _query(name: str, sql: str | None = None, recursive: bool = False):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_WITH}{sql}"
+        return f
+
+    return add
+
+
+# ---- text --------------------------------------------------------------------------------------------------
+
+
+@_query("translatable_segments", r"SELECT chunk_id, text_no, coalesce(regexp_matches(txt, '[\p{L}\p{Nl}\p{No}]'), false) AS translatable FROM segment")
+def _(s, d):
+    return R.segments(s, d).select("chunk_id", "text_no", T.is_translatable(F.col("text")).alias("translatable"))
+
+
+@_query(
+    "normalized_answers",
+    """SELECT part_id, CASE WHEN s.persian_digits
+            THEN translate(translate(translation, 'يكى', 'یکی'), '0123456789٠١٢٣٤٥٦٧٨٩', '۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹')
+            ELSE translate(translation, 'يكى', 'یکی') END AS normalized
+       FROM part p LEFT JOIN setting s ON s.job_id = p.job_id""",
+)
+def _(s, d):
+    rows = R.parts(s, d).select("part_id", "job_id", "translation").join(R.job_settings(s, d).select("job_id", "persian_digits"), "job_id", "left")
+    return rows.select("part_id", T.normalize_persian(F.col("translation"), F.coalesce("persian_digits", F.lit(False))).alias("normalized"))
+
+
+@_query("segment_hashes", "SELECT chunk_id, text_no, length(txt) AS n_chars, sha1(txt) AS seg_sha1 FROM segment")
+def _(s, d):
+    return R.segments(s, d).select("chunk_id", "text_no", F.length("text").alias("n_chars"), T.segment_hash(F.col("text")).alias("seg_sha1"))
+
+
+@_query(
+    "stripped_segments",
+    rf"SELECT chunk_id, text_no, regexp_replace(regexp_replace(txt, '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', '') AS body FROM segment",
+)
+def _(s, d):
+    return R.segments(s, d).select("chunk_id", "text_no", T.strip(F.col("text")).alias("body"))
+
+
+@_query(
+    "output_names",
+    r"""SELECT job_id, CASE WHEN mode IN ('refine', 'review')
+            THEN regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '\.fa$', '') || '.refined.fa' || ext
+            ELSE regexp_replace(filename, '\.[^.]*$', '') || '.fa' || ext END AS output
+        FROM (SELECT *, CASE lower(regexp_extract(filename, '(\.[^.]*)$', 1)) WHEN '.md' THEN '.txt' WHEN '.pdf' THEN '.docx'
+            ELSE lower(regexp_extract(filename, '(\.[^.]*)$', 1)) END AS ext FROM setting)""",
+)
+def _(s, d):
+    rows = R.job_settings(s, d)
+    ext = T.extension(F.col("filename"))
+    out = F.when(ext == ".md", ".txt").when(ext == ".pdf", ".docx").otherwise(ext)
+    return rows.select("job_id", T.output_name(F.col("filename"), F.col("mode"), out).alias("output"))
+
+
+@_query(
+    "job_durations",
+    """SELECT job_id, CASE WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm'
+            WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS took
+       FROM (SELECT job_id, greatest(0, CAST(floor((epoch_us(finished_at) - epoch_us(created_at)) / 1e6) AS BIGINT)) AS t FROM jobs WHERE finished_at IS NOT NULL)""",
+)
+def _(s, d):
+    rows = table(s, d, "jobs").where("finished_at IS NOT NULL")
+    seconds = F.floor((F.unix_micros("finished_at") - F.unix_micros("created_at")) / 1e6)
+    return rows.select("job_id", T.duration(seconds).alias("took"))
+
+
+# ---- segments and chunks -----------------------------------------------------------------------------------
+
+
+@_query(
+    "long_paragraphs",
+    r""", unit AS (
+            SELECT doc_id, text, CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10))
+                ELSE string_split(regexp_replace(text, '([.!?…。！？])[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '\1' || chr(1), 'g'), chr(1)) END AS units
+            FROM documents WHERE text IS NOT NULL AND length(text) > 4000
+        ),
+        walk AS (
+            SELECT doc_id, units, 1 AS i, 0 AS piece_no, CAST(length(units[1]) AS BIGINT) AS size FROM unit
+            UNION ALL
+            SELECT doc_id, units, i + 1,
+                CASE WHEN size > 0 AND size + length(units[i + 1]) + 1 > 4000 THEN piece_no + 1 ELSE piece_no END,
+                CASE WHEN size = 0 OR size + length(units[i + 1]) + 1 > 4000 THEN length(units[i + 1]) ELSE size + length(units[i + 1]) + 1 END
+            FROM walk WHERE i < len(units)
+        )
+        SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, CAST(max(size) AS INTEGER) AS n_chars FROM walk GROUP BY ALL
+        UNION ALL
+        SELECT doc_id, 0, CAST(length(text) AS INTEGER) FROM documents WHERE text IS NOT NULL AND length(text) <= 4000""",
+    recursive=True,
+)
+def _(s, d):
+    pieces = segmentation.split_long(F.col("text"), segmentation.PARAGRAPH)
+    return table(s, d, "documents").select("doc_id", F.posexplode(pieces).alias("piece_no", "p")).select("doc_id", "piece_no", F.length("p").alias("n_chars"))
+
+
+def _plan(s, d):
+    rows = R.segments(s, d).join(R.job_settings(s, d).select("job_id", "max_chars"), "job_id", "left")
+    rows = rows.select("job_id", "seg_id", "text", F.coalesce("max_chars", F.lit(2500)).alias("max_chars"))
+    return chunking.make_chunks(rows, "job_id", "seg_id", "text", "max_chars")
+
+
+_PLAN_SQL = """, ordered AS (
+            SELECT g.job_id, g.seg_id, coalesce(length(g.txt), 0) AS n_chars, coalesce(s.max_chars, 2500) AS most,
+                   row_number() OVER (PARTITION BY g.job_id ORDER BY g.seg_id) AS i
+            FROM segment g LEFT JOIN setting s ON s.job_id = g.job_id WHERE g.job_id IS NOT NULL
+        ),
+        walk AS (
+            SELECT job_id, seg_id, n_chars, i, 0 AS chunk_no, CAST(n_chars + 12 AS BIGINT) AS size FROM ordered WHERE i = 1
+            UNION ALL
+            SELECT o.job_id, o.seg_id, o.n_chars, o.i,
+                   CASE WHEN w.size + o.n_chars + 12 > o.most THEN w.chunk_no + 1 ELSE w.chunk_no END,
+                   CASE WHEN w.size + o.n_chars + 12 > o.most THEN o.n_chars + 12 ELSE w.size + o.n_chars + 12 END
+            FROM walk w JOIN ordered o ON o.job_id = w.job_id AND o.i = w.i + 1
+        )"""
+
+
+@_query("chunk_plan", _PLAN_SQL + " SELECT job_id, seg_id, CAST(n_chars AS INTEGER) AS n_chars, CAST(chunk_no AS INTEGER) AS chunk_no FROM walk", recursive=True)
+def _(s, d):
+    return _plan(s, d).select("job_id", "seg_id", "n_chars", "chunk_no")
+
+
+@_query(
+    "chunk_sizes",
+    _PLAN_SQL + """ SELECT job_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(count(*) AS INTEGER) AS n_segments,
+        CAST(sum(n_chars) AS INTEGER) AS chars FROM walk GROUP BY ALL""",
+    recursive=True,
+)
+def _(s, d):
+    made = chunking.assemble(_plan(s, d), "job_id")
+    return made.select("job_id", "chunk_no", F.size("seg_ids").alias("n_segments"), "chars")
+
+
+@_query(
+    "halved_chunks",
+    """SELECT chunk_id, CAST(h AS INTEGER) AS part, CASE WHEN h = 0 THEN seg_ids[1:len(seg_ids) // 2] WHEN h = 1 THEN seg_ids[len(seg_ids) // 2 + 1:] ELSE seg_ids END AS seg_ids
+       FROM (SELECT chunk_id, seg_ids, unnest(CASE WHEN len(seg_ids) > 1 THEN [0, 1] ELSE [NULL] END) AS h FROM chunk)""",
+)
+def _(s, d):
+    rows = R.chunks(s, d, "chunk_no", "seg_ids", "texts")
+    return chunking.halve(rows, "chunk_id").select("chunk_id", "part", "seg_ids")
+
+
+@_query("text_round_trip", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    items = segmentation.text_items(table(s, d, "documents"))
+    pieces = segmentation.numbered(items)
+    built = layouts.build_text(items, layouts.rendered(pieces, pieces.limit(0).withColumn("translation", F.col("text"))))
+    return built.select("doc_id", F.md5("text").alias("digest"))
+
+
+@_query(
+    "text_paragraphs",
+    rf""", paragraph AS (
+            SELECT doc_id, unnest(string_split(regexp_replace(text, '\n[{_SPACE}]*\n', chr(1), 'g'), chr(1))) AS p FROM documents WHERE text IS NOT NULL
+        )
+        SELECT doc_id, count(*) AS n_paragraphs, sum(length(regexp_replace(regexp_replace(p, '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', ''))) AS chars
+        FROM paragraph WHERE regexp_matches(p, '[\p{{L}}\p{{Nl}}\p{{No}}]') GROUP BY doc_id""",
+)
+def _(s, d):
+    items = segmentation.text_items(table(s, d, "documents")).where("kind = 'seg'")
+    return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum(F.length(T.strip(F.col("raw"))).cast("long")).alias("chars"))
+
+
+def _subtitles(s, d):
+    """Subtitles made of the chunks' texts, a cue for each: real texts in the form that the parser reads."""
+    clock = F.concat(F.lpad((F.col("i") % 60).cast("string"), 2, "0"), F.lit(",000"))
+    block = lambda t, i: F.concat(
+        (i + 1).cast("string"), F.lit("\n00:00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(",000 --> 00:00:59,500\n"), F.regexp_replace(F.coalesce(t, F.lit("")), r"\s*\n\s*", "\n")
+    )
+    del clock
+    return R.chunks(s, d, "texts").select(F.col("chunk_id").alias("doc_id"), F.array_join(F.transform("texts", block), "\n\n").alias("text"))
+
+
+@_query("subtitle_cues")
+def _(s, d):
+    cues = segmentation.subtitle_cues(_subtitles(s, d))
+    return cues.select("doc_id", "cue_no", F.size("header").alias("header_lines"), F.length("body").alias("n_chars"), "translatable")
+
+
+@_query("subtitles_rebuilt")
+def _(s, d):
+    cues = segmentation.subtitle_cues(_subtitles(s, d))
+    results = cues.where("translatable").select("doc_id", "cue_no", F.upper("body").alias("translation"))
+    return layouts.build_subtitles(cues, results).select("doc_id", F.md5("text").alias("digest"))
+
+
+def _pages(s, d):
+    """The documents in pages of forty lines, each under its running header."""
+    lines = F.split("text", "\n", -1)
+    page = lambda i: F.concat(F.lit("The run's notebooks "), i.cast("string"), F.lit("\n\n"), F.array_join(F.slice(lines, i * 40 + 1, F.lit(40)), "\n"))
+    many = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int"))
+    rows = table(s, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", F.posexplode(F.transform(many, page)).alias("page_no", "text"))
+
+
+@_query("page_paragraphs")
+def _(s, d):
+    pages = _pages(s, d).select("doc_id", "page_no", segmentation.page_paragraphs(F.col("text")).alias("paragraphs"))
+    return pages.select("doc_id", "page_no", F.size("paragraphs").alias("n"), F.md5(F.array_join("paragraphs", "\n")).alias("digest"))
+
+
+@_query("running_headers")
+def _(s, d):
+    pages = _pages(s, d).select("doc_id", "page_no", segmentation.page_paragraphs(F.col("text")).alias("paragraphs"))
+    kept = segmentation.drop_running_headers(pages)
+    return kept.select("doc_id", "page_no", F.size("paragraphs").alias("n"))
+
+
+# ---- prompts and answers -----------------------------------------------------------------------------------
+
+_PROMPT_SQL = """CASE WHEN len(texts) = 1 THEN coalesce(texts[1], '') ELSE array_to_string(list_transform(texts,
+    lambda t, i: '<<<' || i || '>>>' || chr(10) || coalesce(t, '')), chr(10)) END"""
+
+
+@_query("user_prompts", f"SELECT chunk_id, md5({_PROMPT_SQL}) AS digest FROM chunk")
+def _(s, d):
+    return R.chunks(s, d, "texts").select("chunk_id", F.md5(prompts.user_prompt(F.col("texts"))).alias("digest"))
+
+
+def _answers(s, d):
+    """Answers made of the prompts: every seventh chunk of a kind is right, renumbered, cut, prefaced and so on."""
+    p = prompts.user_prompt(F.col("texts"))
+    kind = F.col("chunk_id") % 7
+    answer = (
+        F.when(kind == 1, F.concat(F.lit("Here it is:\n"), p))
+        .when(kind == 2, F.replace(p, F.lit("<<<2>>>"), F.lit("<<<3>>>")))
+        .when(kind == 3, F.replace(p, F.lit("\n"), F.lit("\r\n")))
+        .when(kind == 4, F.concat(p, F.lit("\n<<<99>>>\n")))
+        .when(kind == 5, F.translate(p, "123456789", "۱۲۳۴۵۶۷۸۹"))
+        .otherwise(p)
+    )
+    return R.chunks(s, d, "texts").select("chunk_id", F.size("texts").alias("n"), answer.alias("answer"))
+
+
+@_query(
+    "parsed_answers",
+    rf""", made AS (SELECT chunk_id, len(texts) AS n, {_PROMPT_SQL} AS p FROM chunk),
+        answer AS (SELECT chunk_id, n, CASE chunk_id % 7 WHEN 1 THEN 'Here it is:' || chr(10) || p WHEN 2 THEN replace(p, '<<<2>>>', '<<<3>>>')
+            WHEN 3 THEN replace(p, chr(10), chr(13) || chr(10)) WHEN 4 THEN p || chr(10) || '<<<99>>>' || chr(10)
+            WHEN 5 THEN translate(p, '123456789', '۱۲۳۴۵۶۷۸۹') ELSE p END AS a FROM made),
+        cut AS (SELECT chunk_id, n, a, regexp_extract_all(a, '(?m)^[ \t]*<<<[{_SPACE}]*(\p{{Nd}}+)[{_SPACE}]*>>>[ \t]*$', 1) AS numbers,
+            string_split(regexp_replace(a, '(?m)^[ \t]*<<<[{_SPACE}]*\p{{Nd}}+[{_SPACE}]*>>>[ \t]*$', chr(1), 'g'), chr(1)) AS bodies FROM answer),
+        trimmed AS (SELECT chunk_id, n, list_transform(numbers, lambda x: try_cast(translate(x, '۰۱۲۳۴۵۶۷۸۹', '0123456789') AS BIGINT)) AS numbers,
+            list_transform(bodies, lambda b: regexp_replace(regexp_replace(b, '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', '')) AS bodies,
+            regexp_replace(regexp_replace(array_to_string(bodies, ''), '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', '') AS whole FROM cut)
+        SELECT chunk_id, CASE WHEN n = 1 THEN md5(whole)
+            WHEN numbers = list_transform(range(1, n + 1), lambda x: CAST(x AS BIGINT)) AND len(list_filter(bodies[2:], lambda b: b = '')) = 0
+            THEN md5(array_to_string(bodies[2:], chr(1))) END AS digest
+        FROM trimmed""",
+)
+def _(s, d):
+    parsed = prompts.parse_response(F.col("answer"), F.col("n"))
+    return _answers(s, d).select("chunk_id", F.md5(F.array_join(parsed, "\u0001")).alias("digest"))
+
+
+@_query(
+    "cleaned_outputs",
+    rf"""SELECT part_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(translation, ''), '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', ''), '^\n+', ''), '\n+\z', '')) AS digest
+        FROM part WHERE translation IS NULL OR translation NOT LIKE '%```%'""",
+)
+def _(s, d):
+    kind = F.col("part_id") % 4
+    t = F.coalesce("translation", F.lit(""))
+    wrapped = (
+        F.when(kind == 0, F.concat(F.lit("<think>a\nb</think>"), t))
+        .when(kind == 1, F.concat(F.lit("so it is</think>"), t))
+        .when(kind == 2, F.concat(F.lit("```text\n"), T.strip(t), F.lit("\n```")))
+        .otherwise(t)
+    )
+    rows = R.parts(s, d).where("translation IS NULL OR translation NOT LIKE '%```%'")
+    return rows.select("part_id", F.md5(prompts.clean_output(wrapped)).alias("digest"))
+
+
+@_query(
+    "service_answers",
+    rf"""SELECT part_id, CASE WHEN part_id % 5 = 1 THEN 'rate_limit' WHEN part_id % 5 = 2 THEN 'transient' WHEN regexp_matches(translation, '[^{_SPACE}]') IS NOT TRUE THEN 'transient'
+            WHEN part_id % 5 = 3 THEN 'too_large' END AS kind FROM part WHERE translation IS NULL OR translation NOT LIKE '%```%'""",
+)
+def _(s, d):
+    kind = F.col("part_id") % 5
+    good = lambda finish: F.to_json(
+        F.struct(F.array(F.struct(F.struct(F.coalesce("translation", F.lit("")).alias("content")).alias("message"), F.lit(finish).alias("finish_reason"))).alias("choices"))
+    )
+    raw = (
+        F.when(kind == 1, '{"error": {"message": "too many requests"}}').when(kind == 2, "<html>").when(kind == 3, good("length")).otherwise(good("stop"))
+    )
+    rows = R.parts(s, d).where("translation IS NULL OR translation NOT LIKE '%```%'")
+    return rows.select("part_id", P.answer(raw)["kind"].alias("kind"))
+
+
+@_query(
+    "error_kinds",
+    """, told AS (SELECT attempt_id, status_code, CASE attempt_id % 4 WHEN 0 THEN 'quota exceeded for today' WHEN 1 THEN 'limit per minute, daily quota'
+            WHEN 2 THEN 'maximum context length' ELSE '' END AS body FROM attempt)
+       SELECT attempt_id, CASE WHEN status_code IS NULL THEN NULL WHEN status_code = 402 THEN 'quota'
+            WHEN status_code = 429 THEN CASE WHEN attempt_id % 4 = 0 THEN 'quota' ELSE 'rate_limit' END
+            WHEN status_code IN (401, 403) THEN CASE WHEN attempt_id % 4 = 0 THEN 'quota' ELSE 'auth' END
+            WHEN status_code IN (408, 409, 425) OR status_code >= 500 THEN 'transient' WHEN status_code = 413 THEN 'too_large'
+            WHEN status_code = 400 AND body LIKE '%context%' THEN 'too_large' WHEN attempt_id % 4 = 0 THEN 'quota' ELSE 'fatal' END AS kind
+       FROM told""",
+)
+def _(s, d):
+    n = F.col("attempt_id") % 4
+    body = F.when(n == 0, "quota exceeded for today").when(n == 1, "limit per minute, daily quota").when(n == 2, "maximum context length").otherwise("")
+    return R.attempts(s, d).select("attempt_id", P.error_kind(F.col("status_code"), body).alias("kind"))
+
+
+@_query(
+    "pauses",
+    """SELECT attempt_id, coalesce(retry_after, least(21600.0, 1800.0 * pow(2, attempt_no - 1))) AS quota,
+            coalesce(retry_after, least(120.0, 10.0 * pow(2, least(attempt_no - 1, 4)))) AS rate,
+            CASE WHEN attempt_no >= 5 THEN 120.0 ELSE least(60.0, 3.0 * pow(2, least(attempt_no - 1, 4))) END AS error FROM attempt""",
+)
+def _(s, d):
+    n, wait = F.col("attempt_no"), F.col("retry_after")
+    return R.attempts(s, d).select("attempt_id", P.quota_pause(n, wait).alias("quota"), P.rate_pause(n, wait).alias("rate"), P.error_pause(n).alias("error"))
+
+
+# ---- providers and settings --------------------------------------------------------------------------------
+
+_URL = r"regexp_replace(trim(base_url), '/+$', '')"
+_ROLES = """CASE WHEN len(list_filter(coalesce(use_for, []), lambda r: r IN ('translate', 'review'))) IN (0) THEN 'translate,review'
+    ELSE array_to_string(list_filter(['translate', 'review'], lambda r: list_contains(use_for, r)), ',') END"""
+_KEYS = r"list_filter(regexp_split_to_array(coalesce(api_key, ''), '[,;\s]+'), lambda k: k <> '')"
+
+
+@_query(
+    "provider_configs",
+    rf"""SELECT name, CASE WHEN {_URL} LIKE '%/chat/completions' THEN {_URL} ELSE {_URL} || '/chat/completions' END AS chat_url,
+            regexp_replace({_URL}, '/chat/completions$', '') || '/models' AS models_url, CAST(len({_KEYS}) AS INTEGER) AS n_keys,
+            greatest(1, coalesce(concurrency, 1)) AS concurrency, coalesce(enabled, true) AS enabled, {_ROLES} AS roles
+        FROM providers""",
+)
+def _(s, d):
+    rows = pools.configured(table(s, d, "providers"))
+    url = F.col("base_url")
+    return rows.select("name", P.chat_url(url).alias("chat_url"), P.models_url(url).alias("models_url"), F.size("keys").alias("n_keys"), "concurrency", "enabled", F.array_join("roles", ",").alias("roles"))
+
+
+@_query(
+    "provider_keys",
+    rf""", k AS (SELECT name, greatest(1, coalesce(concurrency, 1)) AS concurrency, unnest(CASE WHEN len({_KEYS}) = 0 THEN [NULL] ELSE {_KEYS} END) AS key,
+            generate_subscripts(CASE WHEN len({_KEYS}) = 0 THEN [NULL] ELSE {_KEYS} END, 1) - 1 AS key_no FROM providers)
+        SELECT name, CAST(key_no AS INTEGER) AS key_no, CASE WHEN coalesce(key, '') = '' THEN '(no key)' WHEN length(key) > 10 THEN left(key, 4) || '…' || right(key, 4) ELSE '…' END AS key_label FROM k""",
+)
+def _(s, d):
+    return pools.endpoints(pools.configured(table(s, d, "providers"))).select("name", "key_no", "key_label")
+
+
+@_query(
+    "job_providers",
+    f""", able AS (SELECT name, {_ROLES} AS roles FROM providers WHERE coalesce(enabled, true))
+        SELECT s.job_id, array_to_string(list_sort(list(a.name)), ',') AS names FROM setting s
+        JOIN able a ON contains(a.roles, CASE WHEN s.mode IN ('refine', 'review') THEN 'review' ELSE 'translate' END) GROUP BY s.job_id""",
+)
+def _(s, d):
+    able = pools.configured(table(s, d, "providers")).where("enabled AND problem IS NULL").select("name", F.explode("roles").alias("role"))
+    by_role = able.groupBy("role").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return R.job_settings(s, d).withColumn("role", P.mode_role(F.col("mode"))).join(by_role, "role").select("job_id", "names")
+
+
+@_query(
+    "clamped_settings",
+    """SELECT settings_id, least(20000, greatest(300, coalesce(max_chars, 2500))) AS max_chars, least(30, greatest(1, coalesce(max_attempts, 6))) AS max_attempts,
+            greatest(20.0, coalesce(timeout_s, 240.0)) AS timeout_s FROM dispatch_settings""",
+)
+def _(s, d):
+    held = lambda c, default, low, high: F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(c, F.lit(default)))).alias(c)
+    rows = table(s, d, "dispatch_settings")
+    return rows.select("settings_id", held("max_chars", 2500, 300, 20000), held("max_attempts", 6, 1, 30), F.greatest(F.lit(20.0), F.coalesce("timeout_s", F.lit(240.0))).alias("timeout_s"))
+
+
+@_query("worker_totals", f"SELECT sum(greatest(1, coalesce(concurrency, 1))) AS workers, sum(len({_KEYS})) AS n_keys, array_to_string(list_sort(list_distinct(list(model))), ',') AS models FROM providers WHERE coalesce(enabled, true)")
+def _(s, d):
+    rows = pools.configured(table(s, d, "providers")).where("enabled")
+    return rows.agg(F.sum("concurrency").alias("workers"), F.sum(F.size("keys")).alias("n_keys"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
+
+
+@_query(
+    "provider_upsert",
+    f"""SELECT name, CAST(len({_KEYS}) + 1 AS INTEGER) AS n_keys, greatest(greatest(1, coalesce(concurrency, 1)), 3) AS concurrency FROM providers
+        UNION ALL SELECT 'newcomer', 1, 3""",
+)
+def _(s, d):
+    rows = pools.configured(table(s, d, "providers")).withColumn("disabled", F.lit(False)).withColumn("disabled_reason", F.lit(""))
+    more = rows.select("name", "base_url", F.array(F.lit("xk-more")).alias("keys"), "model", F.lit(3).alias("concurrency"), F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("problem"))
+    new = s.range(1).select(F.lit("newcomer").alias("name"), F.lit("https://new.example/v1").alias("base_url"), F.array(F.lit("xk-new")).alias("keys"), F.lit("inv").alias("model"), F.lit(3).alias("concurrency"), F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("problem"))
+    return pools.upsert(rows, more.unionByName(new)).select("name", F.size("keys").alias("n_keys"), "concurrency")
+
+
+# ---- checkpoint and progress -------------------------------------------------------------------------------
+
+
+def _keyed(s, d):
+    rows = R.segments(s, d).where("text IS NOT NULL").join(R.job_settings(s, d).select("job_id", "mode"), "job_id")
+    return rows.select("job_id", "seg_id", "file_hash", "mode", "text")
+
+
+_KEYED = "SELECT g.job_id, g.seg_id, g.file_hash, s.mode, sha1(g.txt) AS seg_sha1, length(g.txt) AS n_chars FROM segment g JOIN setting s ON s.job_id = g.job_id WHERE g.txt IS NOT NULL"
+
+
+@_query("resume_plan", f", keyed AS ({_KEYED}) SELECT k.job_id, k.seg_id, k.seg_sha1, t.translation FROM keyed k LEFT JOIN kept t USING (file_hash, mode, seg_sha1)")
+def _(s, d):
+    return cache.lookup(_keyed(s, d), R.checkpoint(s, d)).select("job_id", "seg_id", "seg_sha1", "translation")
+
+
+@_query("pending_segments", f", keyed AS ({_KEYED}) SELECT k.job_id, k.seg_id FROM keyed k ANTI JOIN kept t USING (file_hash, mode, seg_sha1)")
+def _(s, d):
+    return cache.pending(_keyed(s, d), R.checkpoint(s, d).where("written_at IS NOT NULL")).select("job_id", "seg_id")
+
+
+@_query(
+    "merged_results",
+    f""", keyed AS ({_KEYED}), old AS (SELECT job_id, seg_id, t.translation FROM keyed k JOIN kept t USING (file_hash, mode, seg_sha1)),
+        new AS (SELECT job_id, unnest(seg_ids) AS seg_id, p.translation FROM part p JOIN (SELECT chunk_id, seg_ids FROM chunk WHERE len(seg_ids) = 1) USING (chunk_id) WHERE p.translation IS NOT NULL AND p.provider IS NOT NULL)
+        SELECT job_id, seg_id, coalesce(new.translation, old.translation) AS translation FROM old FULL JOIN new USING (job_id, seg_id)""",
+)
+def _(s, d):
+    old = cache.lookup(_keyed(s, d), R.checkpoint(s, d)).where("translation IS NOT NULL").select("job_id", "seg_id", "translation")
+    single = R.chunks(s, d, "seg_ids").where(F.size("seg_ids") == 1).select("chunk_id", F.get("seg_ids", F.lit(0)).alias("seg_id"))
+    new = R.parts(s, d).where("translation IS NOT NULL AND provider IS NOT NULL").join(single, "chunk_id").select("job_id", "seg_id", "translation")
+    return cache.merge(old, new, ["job_id", "seg_id"])
+
+
+@_query(
+    "job_progress",
+    f""", keyed AS ({_KEYED}), marked AS (SELECT k.job_id, k.n_chars, t.translation IS NOT NULL AS hit FROM keyed k LEFT JOIN kept t USING (file_hash, mode, seg_sha1)),
+        sums AS (SELECT job_id, count(*) AS total, count_if(hit) AS finished, sum(n_chars) AS total_chars, coalesce(sum(n_chars) FILTER (hit), 0) AS done_chars FROM marked GROUP BY job_id)
+        SELECT j.job_id, coalesce(total, 0) AS total_segments, coalesce(finished, 0) AS done_segments, CAST(coalesce(total_chars, 0) AS BIGINT) AS total_chars,
+            CAST(coalesce(done_chars, 0) AS BIGINT) AS done_chars,
+            CASE WHEN j.status = 'done' THEN 100.0 ELSE least(100.0, coalesce(round_even(100 * done_chars / nullif(total_chars, 0), 1), 0.0)) END AS percent, j.status
+        FROM jobs j LEFT JOIN sums USING (job_id)""",
+)
+def _(s, d):
+    looked = cache.lookup(_keyed(s, d), R.checkpoint(s, d)).select("job_id", "seg_id", F.length("text").alias("n_chars"), "translation")
+    return telemetry.job_progress(table(s, d, "jobs"), looked, looked.where("translation IS NOT NULL"))
+
+
+# ---- telemetry ---------------------------------------------------------------------------------------------
+
+
+@_query(
+    "provider_stats",
+    """SELECT provider, count(*) AS attempts, count_if(outcome = 'ok') AS done, count_if(outcome <> 'ok') AS failed,
+            CAST(coalesce(sum(chars) FILTER (outcome = 'ok'), 0) AS BIGINT) AS chars,
+            round_even(sum(seconds) FILTER (outcome = 'ok') / nullif(count_if(outcome = 'ok'), 0), 1) AS avg_seconds,
+            count(DISTINCT key_label) AS keys_total, count(DISTINCT key_label) FILTER (outcome = 'auth') AS keys_dead FROM attempt GROUP BY provider""",
+)
+def _(s, d):
+    return telemetry.provider_stats(R.attempts(s, d))
+
+
+@_query(
+    "key_stats",
+    """, k AS (SELECT *, row_number() OVER w AS n FROM attempt WHERE key_label IS NOT NULL WINDOW w AS (PARTITION BY provider, key_label ORDER BY attempted_at, attempt_id)),
+        marks AS (SELECT provider, key_label, count(*) AS uses, coalesce(max(n) FILTER (outcome = 'rate_limit'), 0) AS rate_n, max(attempted_at) FILTER (outcome = 'ok') AS ok_at,
+            max(n) FILTER (outcome IN ('quota', 'rate_limit', 'auth')) AS last_n, count_if(outcome = 'auth') AS auth FROM k GROUP BY ALL)
+        SELECT m.provider, m.key_label, m.uses, m.auth > 0 AS dead,
+            CASE WHEN l.outcome IS NULL OR coalesce(m.ok_at > l.attempted_at, false) THEN '' ELSE l.outcome END AS kind,
+            (SELECT count(*) FROM k WHERE k.provider = m.provider AND k.key_label = m.key_label AND k.outcome = 'quota' AND k.n > m.rate_n) AS quota_hits
+        FROM marks m LEFT JOIN k l ON l.provider = m.provider AND l.key_label = m.key_label AND l.n = m.last_n""",
+)
+def _(s, d):
+    return telemetry.key_stats(R.attempts(s, d)).select("provider", "key_label", "uses", "dead", "kind", "quota_hits")
+
+
+_HISTORY = """, point AS (
+            SELECT job_id, attempt_id, epoch_us(attempted_at) AS ts, coalesce(chars, 0) AS chars,
+                   sum(coalesce(chars, 0)) OVER w AS done_chars, row_number() OVER w AS point_no
+            FROM attempt WHERE outcome = 'ok' AND job_id IS NOT NULL AND attempted_at IS NOT NULL
+            WINDOW w AS (PARTITION BY job_id ORDER BY attempted_at, attempt_id ROWS UNBOUNDED PRECEDING)
+        )"""
+
+
+@_query("progress_history", _HISTORY + " SELECT job_id, attempt_id, CAST(done_chars AS BIGINT) AS done_chars, point_no FROM point")
+def _(s, d):
+    return telemetry.history(R.attempts(s, d)).select("job_id", "attempt_id", "done_chars", "point_no")
+
+
+@_query(
+    "speed_series",
+    _HISTORY + """, total AS (SELECT job_id, CAST(sum(chars) AS BIGINT) AS total_chars FROM chunk GROUP BY job_id),
+        near AS (SELECT *, count(*) OVER w AS n, first_value(ts) OVER w AS ts1, first_value(done_chars) OVER w AS done1
+            FROM point WINDOW w AS (PARTITION BY job_id ORDER BY ts RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)),
+        held AS (SELECT near.*, first_value(ts) OVER r AS ts0, first_value(done_chars) OVER r AS done0 FROM near
+            WINDOW r AS (PARTITION BY job_id ORDER BY point_no ROWS BETWEEN 399 PRECEDING AND CURRENT ROW)),
+        based AS (SELECT *, CASE WHEN n >= 3 THEN ts1 ELSE ts0 END AS a, CASE WHEN n >= 3 THEN done1 ELSE done0 END AS c FROM held),
+        fast AS (SELECT *, CASE WHEN point_no >= 2 AND done_chars > 0 AND done_chars > c AND ts > a THEN (done_chars - c) / ((ts - a) / 1e6) END AS speed FROM based)
+        SELECT job_id, attempt_id, point_no, CAST(floor(speed * 60) AS BIGINT) AS chars_per_min,
+            CASE WHEN speed > 0 THEN CAST(floor(greatest(total_chars - done_chars, 0) / speed) AS BIGINT) END AS eta_seconds
+        FROM fast LEFT JOIN total USING (job_id)""",
+)
+def _(s, d):
+    totals = R.chunks(s, d, "job_id", "chars").groupBy("job_id").agg(F.sum(F.col("chars").cast("long")).alias("total_chars"))
+    return telemetry.speed_series(R.attempts(s, d), totals).select("job_id", "attempt_id", "point_no", "chars_per_min", "eta_seconds")
+
+
+@_query(
+    "latest_parts",
+    """SELECT job_id, CAST(position AS INTEGER) AS position, part_id FROM (
+            SELECT job_id, part_id, row_number() OVER (PARTITION BY job_id ORDER BY finished_at DESC NULLS LAST, part_id DESC) AS position FROM part WHERE job_id IS NOT NULL
+        ) WHERE position <= 5""",
+)
+def _(s, d):
+    return telemetry.recent(R.parts(s, d).select("job_id", "part_id", "finished_at")).select("job_id", "position", "part_id")
+
+
+@_query(
+    "provider_standing",
+    """SELECT provider, CASE WHEN bool_and(auth > 0) THEN 'all keys rate limited (retry in 0s)' ELSE 'idle' END AS status
+       FROM (SELECT provider, key_label, count_if(outcome = 'auth') AS auth FROM attempt WHERE key_label IS NOT NULL GROUP BY ALL) GROUP BY provider""",
+)
+def _(s, d):
+    keys = telemetry.key_stats(R.attempts(s, d)).groupBy("provider").agg(
+        F.collect_list(F.struct("dead", F.lit(0.0).alias("cooldown_until"), "kind")).alias("keys")
+    )
+    status = telemetry.provider_status(F.col("keys"), F.lit(False), F.lit(0.0), F.lit(0), F.lit(1.0))
+    return keys.select("provider", status.alias("status"))
+
+
+@_query("percents", "SELECT chunk_id, CASE WHEN coalesce(chars, 0) = 0 THEN 0.0 ELSE least(100.0, round_even(100.0 * least(chars, chunk_id % 977) / chars, 1)) END AS percent FROM chunk")
+def _(s, d):
+    rows = R.chunks(s, d, "chars")
+    done = F.least(F.col("chars").cast("long"), F.col("chunk_id") % 977)
+    return rows.select("chunk_id", progress.percent(done, F.col("chars"), F.lit(False)).alias("percent"))
+
+
+# ---- dispatch ----------------------------------------------------------------------------------------------
+
+
+@_query("dispatched", "SELECT CAST(job_id AS VARCHAR) AS doc_id, seg_id, md5(regexp_replace(regexp_replace(translate(coalesce(txt, ''), 'يكى', 'یکی'), '^[" + _SPACE + r"]+', ''), '[" + _SPACE + r"]+\z', '')) AS digest FROM segment WHERE job_id IS NOT NULL AND regexp_matches(txt, '[\p{L}\p{Nl}\p{No}]') AND NOT contains(txt, '```')")
+def _(s, d):
+    rows = R.segments(s, d).where(T.is_translatable(F.col("text")) & ~F.contains("text", F.lit("```")) & F.col("job_id").isNotNull())
+    plan = chunking.assemble(chunking.make_chunks(rows.select("job_id", "seg_id", "text"), "job_id"), "job_id")
+    services = [
+        Provider("steady", concurrency=3),
+        Provider("strict", concurrency=2),
+        Provider("spent", keys=[Key("a"), Key("b")]),
+        Provider("gone"),
+    ]
+    run = dispatch(plan.withColumnRenamed("job_id", "doc_id"), services, Echo({"spent": "quota", "gone": "fatal", "strict": "format"}), Settings())
+    return run.results.select("doc_id", "seg_id", F.md5("translation").alias("digest"))

@@ -173,7 +173,8 @@ def speed_series(attempts: DataFrame, totals: DataFrame, span: int = SPAN_SECOND
     oldest = found.select("job_id", F.col("point_no").alias("old_no"), F.col("at").alias("old_at"), F.col("done_chars").alias("old_chars"))
     back = seen.withColumn("old_no", F.greatest(F.lit(1), F.col("point_no") - (points - 1)))
     rows = back.join(oldest, ["job_id", "old_no"]).join(totals.select("job_id", "total_chars"), "job_id", "left")
-    near = F.col("recent") >= 3
+    # the span's first point, unless older than the points kept
+    near = (F.col("recent") >= 3) & (F.col("first.point_no") >= F.col("old_no"))
     start = F.when(near, F.col("first.at")).otherwise(F.col("old_at"))
     base = F.when(near, F.col("first.done_chars")).otherwise(F.col("old_chars"))
     gain, seconds = F.col("done_chars") - base, (F.col("at") - start) / 1e6

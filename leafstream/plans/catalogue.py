@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from leafstream.operators import providers as pools
 from leafstream.operators.dispatch import Key, Provider, Settings, dispatch
 from leafstream.operators.services import Echo
 from leafstream.plans import run_tables as R
+from leafstream.sources.shared import shared_folder
 from leafstream.sources.tables import table
+from leafstream.streaming import progress as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -589,6 +592,23 @@ def _(s, d):
     return rows.select("chunk_id", progress.percent(done, F.col("chars"), F.lit(False)).alias("percent"))
 
 
+@_query(
+    "stream_progress",
+    """SELECT epoch_us(attempted_at) // 300000000 * 300 AS span_start, provider, count(*) AS attempts,
+            count_if(outcome = 'ok') AS done, CAST(coalesce(sum(chars) FILTER (outcome = 'ok'), 0) AS BIGINT) AS chars FROM attempt GROUP BY ALL""",
+)
+def _(s, d):
+    import uuid
+
+    path = f"{d}/attempts.parquet"
+    schema = table(s, d, "attempts").schema
+    # a stream reads folders: a single file is given by a pattern that only it matches
+    stream = live.attempts_stream(s, path if os.path.isdir(path) else f"{d}/attempts.parque[t]", schema)
+    name = f"progress_{uuid.uuid4().hex[:8]}"
+    figures = live.drain(live.progress(stream), name, f"{shared_folder(s)}/leafstream/{name}")
+    return figures.withColumn("span_start", F.unix_seconds("span_start"))
+
+
 # ---- dispatch ----------------------------------------------------------------------------------------------
 
 

@@ -1 +1 @@
-"""Part of the leafstream engine."""
+"""Live figures of a run as Structured Streaming queries."""

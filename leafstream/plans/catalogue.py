@@ -92,7 +92,7 @@ def _(s, d):
     return rows.select("part_id", T.normalize_persian(F.col("translation"), F.coalesce("persian_digits", F.lit(False))).alias("normalized"))
 
 
-@_query("segment_hashes", "SELECT chunk_id, text_no, length(txt) AS n_chars, sha1(txt) AS seg_sha1 FROM segment")
+@_query("segment_hashes", "SELECT chunk_id, text_no, CAST(length(txt) AS INTEGER) AS n_chars, sha1(txt) AS seg_sha1 FROM segment")
 def _(s, d):
     return R.segments(s, d).select("chunk_id", "text_no", F.length("text").alias("n_chars"), T.segment_hash(F.col("text")).alias("seg_sha1"))
 
@@ -199,12 +199,12 @@ def _(s, d):
 
 @_query(
     "halved_chunks",
-    """SELECT chunk_id, CAST(h AS INTEGER) AS part, CASE WHEN h = 0 THEN seg_ids[1:len(seg_ids) // 2] WHEN h = 1 THEN seg_ids[len(seg_ids) // 2 + 1:] ELSE seg_ids END AS seg_ids
+    """SELECT chunk_id, CAST(h AS INTEGER) AS part, array_to_string(list_transform(CASE WHEN h = 0 THEN seg_ids[1:len(seg_ids) // 2] WHEN h = 1 THEN seg_ids[len(seg_ids) // 2 + 1:] ELSE seg_ids END, lambda x: CAST(x AS VARCHAR)), ',') AS seg_ids
        FROM (SELECT chunk_id, seg_ids, unnest(CASE WHEN len(seg_ids) > 1 THEN [0, 1] ELSE [NULL] END) AS h FROM chunk)""",
 )
 def _(s, d):
     rows = R.chunks(s, d, "chunk_no", "seg_ids", "texts")
-    return chunking.halve(rows, "chunk_id").select("chunk_id", "part", "seg_ids")
+    return chunking.halve(rows, "chunk_id").select("chunk_id", "part", F.array_join(F.col("seg_ids").cast("array<string>"), ",").alias("seg_ids"))
 
 
 @_query("text_round_trip", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
@@ -220,7 +220,7 @@ def _(s, d):
     rf""", paragraph AS (
             SELECT doc_id, unnest(string_split(regexp_replace(text, '\n[{_SPACE}]*\n', chr(1), 'g'), chr(1))) AS p FROM documents WHERE text IS NOT NULL
         )
-        SELECT doc_id, count(*) AS n_paragraphs, sum(length(regexp_replace(regexp_replace(p, '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', ''))) AS chars
+        SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(regexp_replace(regexp_replace(p, '^[{_SPACE}]+', ''), '[{_SPACE}]+\z', ''))) AS BIGINT) AS chars
         FROM paragraph WHERE regexp_matches(p, '[\p{{L}}\p{{Nl}}\p{{No}}]') GROUP BY doc_id""",
 )
 def _(s, d):
@@ -437,7 +437,7 @@ def _(s, d):
     return rows.select("settings_id", held("max_chars", 2500, 300, 20000), held("max_attempts", 6, 1, 30), F.greatest(F.lit(20.0), F.coalesce("timeout_s", F.lit(240.0))).alias("timeout_s"))
 
 
-@_query("worker_totals", f"SELECT sum(greatest(1, coalesce(concurrency, 1))) AS workers, sum(len({_KEYS})) AS n_keys, array_to_string(list_sort(list_distinct(list(model))), ',') AS models FROM providers WHERE coalesce(enabled, true)")
+@_query("worker_totals", f"SELECT CAST(sum(greatest(1, coalesce(concurrency, 1))) AS BIGINT) AS workers, CAST(sum(len({_KEYS})) AS BIGINT) AS n_keys, array_to_string(list_sort(list_distinct(list(model))), ',') AS models FROM providers WHERE coalesce(enabled, true)")
 def _(s, d):
     rows = pools.configured(table(s, d, "providers")).where("enabled")
     return rows.agg(F.sum("concurrency").alias("workers"), F.sum(F.size("keys")).alias("n_keys"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
@@ -493,7 +493,7 @@ def _(s, d):
     "job_progress",
     f""", keyed AS ({_KEYED}), marked AS (SELECT k.job_id, k.n_chars, t.translation IS NOT NULL AS hit FROM keyed k LEFT JOIN kept t USING (file_hash, mode, seg_sha1)),
         sums AS (SELECT job_id, count(*) AS total, count_if(hit) AS finished, sum(n_chars) AS total_chars, coalesce(sum(n_chars) FILTER (hit), 0) AS done_chars FROM marked GROUP BY job_id)
-        SELECT j.job_id, coalesce(total, 0) AS total_segments, coalesce(finished, 0) AS done_segments, CAST(coalesce(total_chars, 0) AS BIGINT) AS total_chars,
+        SELECT j.job_id, coalesce(total, 0) AS total_segments, CAST(coalesce(finished, 0) AS BIGINT) AS done_segments, CAST(coalesce(total_chars, 0) AS BIGINT) AS total_chars,
             CAST(coalesce(done_chars, 0) AS BIGINT) AS done_chars,
             CASE WHEN j.status = 'done' THEN 100.0 ELSE least(100.0, coalesce(round_even(100 * done_chars / nullif(total_chars, 0), 1), 0.0)) END AS percent, j.status
         FROM jobs j LEFT JOIN sums USING (job_id)""",
@@ -508,7 +508,7 @@ def _(s, d):
 
 @_query(
     "provider_stats",
-    """SELECT provider, count(*) AS attempts, count_if(outcome = 'ok') AS done, count_if(outcome <> 'ok') AS failed,
+    """SELECT provider, count(*) AS attempts, CAST(count_if(outcome = 'ok') AS BIGINT) AS done, CAST(count_if(outcome <> 'ok') AS BIGINT) AS failed,
             CAST(coalesce(sum(chars) FILTER (outcome = 'ok'), 0) AS BIGINT) AS chars,
             round_even(sum(seconds) FILTER (outcome = 'ok') / nullif(count_if(outcome = 'ok'), 0), 1) AS avg_seconds,
             count(DISTINCT key_label) AS keys_total, count(DISTINCT key_label) FILTER (outcome = 'auth') AS keys_dead FROM attempt GROUP BY provider""",
@@ -595,7 +595,7 @@ def _(s, d):
 @_query(
     "stream_progress",
     """SELECT epoch_us(attempted_at) // 300000000 * 300 AS span_start, provider, count(*) AS attempts,
-            count_if(outcome = 'ok') AS done, CAST(coalesce(sum(chars) FILTER (outcome = 'ok'), 0) AS BIGINT) AS chars FROM attempt GROUP BY ALL""",
+            CAST(count_if(outcome = 'ok') AS BIGINT) AS done, CAST(coalesce(sum(chars) FILTER (outcome = 'ok'), 0) AS BIGINT) AS chars FROM attempt GROUP BY ALL""",
 )
 def _(s, d):
     import uuid

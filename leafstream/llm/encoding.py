@@ -253,7 +253,9 @@ def _single(text: str) -> tuple[str, list[str]]:
         if chinese and run.count(" ") * 15 <= len(chinese):
             choices.append((1.2 if "，" in chinese or "。" in chinese else 0.7, "gbk", chinese))
         if not choices:
-            pages.append("unknown")
+            # some letters may be a list of letters; many are no word of any language
+            if sum(map(len, letters)) >= 6:
+                pages.append("unknown")
             return run
         _, page, fixed = max(choices)
         pages.append(page)
@@ -384,9 +386,9 @@ def _western(text: str) -> tuple[str, list[str]]:
                 continue
             b = page.get(text[i])
             c = LOST if b is None else bytes([b]).decode("cp1252", "replace")
-            if c != LOST and (more := _fits(padded[i], c, padded[i + 2]) - now) > 0:
+            if c != LOST and (then := _fits(padded[i], c, padded[i + 2])) >= 0.5:
                 chars[i + 1] = c
-                gain += more
+                gain += then - now
         if shown == "mac_roman":
             for i, c in enumerate(text, 1):
                 if c == "\xa0" and padded[i - 1].isupper() and padded[i + 1].isupper():

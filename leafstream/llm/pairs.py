@@ -27,7 +27,7 @@ from leafstream.sources.shared import settle
 #: By falling precedence, where a pair is to have one defect.
 DEFECTS = ("empty", "refusal", "copied", "wrong_language", "truncated")
 #: Posteriors above which a defect is kept; tests/llm/test_pairs.py validates them on planted defects.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied": 0.5, "wrong_language": 0.5, "truncated": 0.5}
+CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied": 0.5, "wrong_language": 0.5, "truncated": 0.9}
 #: The length at which the run clips sources and answers.
 CLIP = 6000
 
@@ -176,7 +176,10 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
     stopped = bool(_STOPPED.search(text)) and not re.search("[\\[(«“]\\s*$", text)
     tail = text.rstrip().rsplit("\n", 1)[-1].rsplit("—", 1)[-1]
     heading = len(tail) < 30 and bool(re.search(r"\d\s*$|پوند", tail))
-    open_end = not clipped and not stopped and not heading and bool(_STOPPED.search(source) or source_units > 1)
+    # a source that itself breaks off, or leads on to something, may have an answer that does
+    leads_on = bool(re.search("[:;,،—–-]\\s*$", source))
+    ended = bool(_STOPPED.search(source) or source_units > 1) and not leads_on
+    open_end = not clipped and not stopped and not heading and ended
     if not rendered or len(answer or "") >= CLIP - 12:
         votes["truncated"] = [-1, -1, -1]
     else:
@@ -186,7 +189,7 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
         mine_numbers = set(_NUMBER.findall(plain))
         votes["truncated"] = [
             0 if source_units < 3 and share >= 0.5 else 1 if share < 0.7 else -1 if share >= 0.8 else 0,
-            1 if open_end or _OPEN_END.search(text) and not clipped else -1 if stopped or heading else 0,
+            1 if open_end or _OPEN_END.search(text) and not clipped and not leads_on else -1 if stopped or heading else 0,
             0 if not late else 1 if not late & mine_numbers else -1,
         ]
         if clipped:
@@ -236,27 +239,29 @@ def vote(parts: DataFrame) -> DataFrame:
 def learn(patterns: dict[str, int], prior: float = 0.05, rounds: int = 60) -> dict[str, float]:
     """The posterior of a defect for each vote pattern, given how often each occurs.
 
-    The functions are taken as independent given the truth. Each starts as mostly right; weak pseudo-counts
-    keep what is rare from drifting.
+    The functions are taken as independent given the truth, and one without an opinion as no evidence. Each
+    starts as mostly right, as if some pairs more had voted so, which keeps what is rare from drifting.
     """
     names = sorted(patterns)
     if not names:
         return {}
     counts = np.array([patterns[n] for n in names], dtype=float)
-    votes = np.array([[{"-": 0, "0": 1, "+": 2}[c] for c in n] for n in names])
-    start = np.array([[0.93, 0.05, 0.02], [0.08, 0.22, 0.70]])  # truth x vote
+    votes = np.array([[{"-": 0, "0": -1, "+": 1}[c] for c in n] for n in names])
+    start = np.array([[0.97, 0.03], [0.12, 0.88]])  # truth x vote
     theta = np.repeat(start[None], votes.shape[1], axis=0)
-    pseudo = 0.02 * counts.sum() * start + 1.0 * start
+    pseudo = (5.0 + 0.02 * counts.sum() * np.array([[1.0], [prior]])) * start
     share = prior
     posterior = np.zeros(len(names))
     for _ in range(rounds):
-        logs = np.log(theta[np.arange(votes.shape[1])[None, :, None], np.arange(2)[None, None, :], votes[:, :, None]])
-        total = logs.sum(axis=1) + np.log([1 - share, share])
-        posterior = 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500)))
+        odds = np.full(len(names), np.log(share / (1 - share)))
+        for f in range(votes.shape[1]):
+            ratio = np.log(theta[f, 1] / theta[f, 0])
+            odds += np.where(votes[:, f] < 0, 0.0, ratio[votes[:, f]])
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         weight = np.stack([counts * (1 - posterior), counts * posterior], axis=1)
         for f in range(votes.shape[1]):
-            for v in range(3):
-                theta[f, :, v] = weight[votes[:, f] == v].sum(axis=0) + pseudo[:, v] * np.array([1, share])
+            for v in range(2):
+                theta[f, :, v] = weight[votes[:, f] == v].sum(axis=0) + pseudo[:, v]
             theta[f] /= theta[f].sum(axis=1, keepdims=True)
         share = (weight[:, 1].sum() + 1) / (counts.sum() + 20)
     return dict(zip(names, posterior.tolist()))

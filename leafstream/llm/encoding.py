@@ -342,7 +342,7 @@ def _fits(prev: str, c: str, following: str) -> float:
             return 0.5 if c == "à" else -1.0
         if following.isupper() or prev in ".?!,…":
             return -2.0
-        return 0.8 if c in "òìùãõåøëÿæ" else 1.0
+        return 0.2 if c == "õ" else 0.8 if c in "òìùãåøëÿæ" else 1.0
     if c in _WEST_LARGE:
         if prev.islower():
             return -2.0
@@ -355,6 +355,10 @@ def _fits(prev: str, c: str, following: str) -> float:
         return 1.0 if not letter_after else -1.0
     if c in "—–":
         return 0.5
+    if "─" <= c <= "▟":
+        return -2.0 if letter_before or letter_after else -1.5
+    if c in "´¨¸ˆ˜" or c in "ªº" and prev.isspace():
+        return -1.0 if not (letter_before or letter_after) else -2.0
     if c in "ªº°²³¹":
         return 0.0 if prev.isdigit() or not letter_before and not letter_after else -2.0
     if letter_before or letter_after:
@@ -363,6 +367,7 @@ def _fits(prev: str, c: str, following: str) -> float:
 
 
 _PLAIN = re.compile("[A-Za-z]")
+_BOXES = frozenset(map(chr, range(0x2500, 0x25A0)))
 _OTHER = re.compile("[Ѐ-ӿ؀-ۿ一-鿿]")
 _BLANKS = "\xa0\xad\u202f\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u3000" + LOST + "".join(map(chr, range(0x2000, 0x200B)))
 
@@ -374,6 +379,12 @@ def _western(text: str) -> tuple[str, list[str]]:
     places = [i for i, c in enumerate(text) if c > "\x7f" and c not in _BLANKS]
     padded = " " + text + " "
     fits = {i: _fits(padded[i], text[i], padded[i + 2]) for i in places}
+    if "ã" in text or "ç" in text:  # Portuguese
+        fits = {i: 1.0 if text[i] == "õ" else fit for i, fit in fits.items()}
+    elif sum(text[i] == "õ" for i in places) > 1:
+        fits = {i: -1.0 if text[i] == "õ" else fit for i, fit in fits.items()}
+    if sum(text[i] in _BOXES for i in places) > 6:  # a drawing
+        fits = {i: 0.5 if text[i] in _BOXES else fit for i, fit in fits.items()}
     if min(fits.values(), default=0) > -1:
         return text, []
     best = (0.0, "", text)

@@ -96,7 +96,8 @@ def key_stats(attempts: DataFrame, now: Column | None = None) -> DataFrame:
             F.count_if((F.col("outcome") == "rate_limit") & (F.col("ok_at").isNull() | (order > F.col("ok_at")))).alias("limits"),
         )
     )
-    both = last.join(counted, key, "left").crossJoin(F.broadcast(last.agg(F.max("seen").alias("end")))) if now is None else last.join(counted, key, "left").withColumn("end", now)
+    end = last.agg(F.max("seen")).scalar() if now is None else now
+    both = last.join(counted, key, "left").withColumn("end", end)
     hits, limits = F.coalesce("quota_hits", F.lit(0)), F.coalesce("limits", F.lit(0))
     pause = F.when(F.col("last.outcome") == "quota", quota_pause(F.greatest(hits, F.lit(1)), F.col("last.retry_after"))).when(
         F.col("last.outcome") == "rate_limit", rate_pause(F.greatest(limits, F.lit(1)), F.col("last.retry_after"))
@@ -240,5 +241,5 @@ def provider_status(keys: DataFrame, disabled: Column, cooling_until: Column, bu
 
 def log_tail(lines: DataFrame, most: int = 2000, keep: int = 1500) -> DataFrame:
     """A log's lines (line_no, line): the last `keep` once there are more than `most`."""
-    counted = lines.crossJoin(F.broadcast(lines.agg(F.count(F.lit(1)).alias("_n"), F.max("line_no").alias("_last"))))
-    return counted.where((F.col("_n") <= most) | (F.col("line_no") > F.col("_last") - keep)).drop("_n", "_last")
+    count, last = lines.agg(F.count(F.lit(1))).scalar(), lines.agg(F.max("line_no")).scalar()
+    return lines.where((count <= most) | (F.col("line_no") > last - keep))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafstream.llm.values import once, text_elements
+from leafstream.sources.shared import settle
 
 #: Fewest letters or digits of a value that counts.
 LEAST = 20
@@ -180,7 +181,8 @@ def alike_found(parts: DataFrame, chunks: DataFrame) -> DataFrame:
     Pairs of exact copies are not among them, so that copies, however many, only count against the other
     spellings of their class.
     """
-    found = variants(values(parts, chunks)).withColumn("class", F.xxhash64("field_name", "canonical"))
+    # both sides of the pairs are read from what is found once
+    found = settle(variants(values(parts, chunks)), "variants").withColumn("class", F.xxhash64("field_name", "canonical"))
     a = found.select("field_name", "class", "canonical", F.col("text").alias("ta"), F.col("id").alias("id_a"), F.col("no").alias("no_a"))
     b = found.select("field_name", "class", F.col("canonical").alias("cb"), F.col("text").alias("tb"), F.col("id").alias("id_b"), F.col("no").alias("no_b"))
     return (

@@ -66,6 +66,9 @@ def _automaton(page: dict[str, int], gaps: bool) -> re.Pattern[str]:
     return re.compile(f"(?:{part(0xC2, 0xDF)}{rest}|(?:{lead3}){rest}|(?:{lead4}){rest}{rest})+")
 
 
+#: The characters of each page that can begin a sequence, and those that can go on with it.
+_LEADS = {name: frozenset(c for c, b in page.items() if 0xC2 <= b <= 0xF4) for name, page in _BYTES.items()}
+_GO_ON = {name: frozenset(LOST).union(c for c, b in page.items() if 0x80 <= b <= 0xBF) for name, page in _BYTES.items()}
 _SPANS = {name: _automaton(page, name == "cp1252") for name, page in _BYTES.items()}
 
 _CYRILLIC = re.compile("[А-яЁё]")
@@ -153,7 +156,10 @@ def _sound(text: str, m: re.Match[str], chars: list[str], shown: str, sure: bool
 def _multibyte(text: str) -> tuple[str, list[str]]:
     """One round over all pages: the text with its well-formed spans decoded, and the pages at fault."""
     best: tuple[int, str, str] | None = None
+    present = set(text)
     for shown in SHOWN:
+        if present.isdisjoint(_LEADS[shown]) or present.isdisjoint(_GO_ON[shown]):
+            continue
         page = _BYTES[shown]
         spans = list(_SPANS[shown].finditer(text))
         if not spans:
@@ -186,6 +192,7 @@ def _covered(text: str, start: int, end: int) -> float:
 
 _CP1252 = "".join(c for c in _BYTES["cp1252"])
 _HIGH_WORD = re.compile("[" + re.escape(_CP1252) + LOST + "]+")
+_THREE_HIGH = re.compile("[" + re.escape(_CP1252) + "]{3}")
 _HIGH_RUN = re.compile(
     "[" + re.escape(_CP1252) + LOST + "](?:[" + re.escape(_CP1252) + LOST + "0-9 .,:;!?\"'()\\-]*[" + re.escape(_CP1252) + LOST + "])?"
 )
@@ -227,6 +234,8 @@ _ARABIC_WORD = re.compile("^[ء-غف-ْپچژگکیڈٹںھہ‌،؛؟٠-٩ـ]+$
 def _single(text: str) -> tuple[str, list[str]]:
     """Runs of Western letters that are Cyrillic, Arabic or Chinese in another page."""
     pages: list[str] = []
+    if not _THREE_HIGH.search(text):
+        return text, pages
 
     def better(m: re.Match[str]) -> str:
         run = m.group()
@@ -370,13 +379,14 @@ _PLAIN = re.compile("[A-Za-z]")
 _BOXES = frozenset(map(chr, range(0x2500, 0x25A0)))
 _OTHER = re.compile("[Ѐ-ӿ؀-ۿ一-鿿]")
 _BLANKS = "\xa0\xad\u202f\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u3000" + LOST + "".join(map(chr, range(0x2000, 0x200B)))
+_VISIBLE_HIGH = re.compile("[^\x00-\x7f" + _BLANKS + "]")
 
 
 def _western(text: str) -> tuple[str, list[str]]:
     """Western text of cp1252 that was read as Mac Roman or a DOS page."""
     if not _PLAIN.search(text) or _OTHER.search(text):
         return text, []
-    places = [i for i, c in enumerate(text) if c > "\x7f" and c not in _BLANKS]
+    places = [m.start() for m in _VISIBLE_HIGH.finditer(text)]
     padded = " " + text + " "
     fits = {i: _fits(padded[i], text[i], padded[i + 2]) for i in places}
     if "ã" in text or "ç" in text:  # Portuguese

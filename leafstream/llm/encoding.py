@@ -422,8 +422,9 @@ def _western(text: str) -> tuple[str, list[str]]:
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
-def repair(text: str) -> Repair | None:
-    """The repaired text and the pages it was misread in, or None where nothing is wrong.
+def repair(text: str, western: bool = True) -> Repair | None:
+    """The repaired text and the pages it was misread in, or None where nothing is wrong. Without `western`, Western
+    text of one Western page read as another stays as it is: its letters are as many, if not the right ones.
 
     `lost` says that some characters can't be recovered: they stand as U+FFFD, or as they stood.
     """
@@ -441,7 +442,7 @@ def repair(text: str) -> Repair | None:
         if not found:
             break
         pages += [f"utf-8 as {p}" for p in found]
-    if not unknown:
+    if western and not unknown:
         fixed, found = _western(fixed)
         pages += [f"cp1252 as {p}" for p in found]
     lost = LOST in fixed or unknown or bool(_CONTROL.search(fixed))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # The usual short words of each language.
 _SHORT = {
@@ -23,32 +24,50 @@ _SHORT = {
 }
 WORDS = {lang: frozenset(words.split()) for lang, words in _SHORT.items()}
 
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
-_ARABIC = re.compile("[ء-غف-يٱ-ۓ]")
-_CYRILLIC = re.compile("[Ѐ-ӿ]")
-_HAN = re.compile("[㐀-鿿]")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+_ARABIC = re.compile("[ء-غف-يٱ-ۓ]+")
+_CYRILLIC = re.compile("[Ѐ-ӿ]+")
+_HAN = re.compile("[㐀-鿿]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
+_LATIN_LANGUAGES = ("en", "fr", "de", "es")
+_LATIN_SHORT = frozenset().union(*(WORDS[lang] for lang in _LATIN_LANGUAGES))
+_ARTICLE = re.compile(r"\bال[^\W\d_]{3}")
 # Letters of Persian that Arabic has not, and of Arabic that Persian has not.
 _PERSIAN_ONLY = re.compile("[پچژگ‌]")
 _ARABIC_ONLY = re.compile("[ةأإ]")
-_FORMS = str.maketrans("يىك", "ییک")
-_FA = frozenset(w.translate(_FORMS) for w in WORDS["fa"])
-_AR = frozenset(w.translate(_FORMS) for w in WORDS["ar"])
+
+
+def _persian_forms(text: str) -> str:
+    return text.replace("ي", "ی").replace("ى", "ی").replace("ك", "ک")
+
+
+_FA = frozenset(map(_persian_forms, WORDS["fa"]))
+_AR = frozenset(map(_persian_forms, WORDS["ar"]))
+
+
+def _length(pattern: re.Pattern[str], text: str) -> int:
+    return sum(map(len, pattern.findall(text)))
+
+
+_SCRIPTS = {"arabic": _ARABIC, "latin": _LATIN, "cyrillic": _CYRILLIC, "han": _HAN}
 
 
 def script_counts(text: str) -> dict[str, int]:
-    return {
-        "latin": len(_LATIN.findall(text)),
-        "arabic": len(_ARABIC.findall(text)),
-        "cyrillic": len(_CYRILLIC.findall(text)),
-        "han": 2 * len(_HAN.findall(text)),
-    }
+    """Letters by script; once a script makes up more than half of a text, those after it count as none."""
+    if text.isascii():
+        return {"latin": _length(_LATIN, text), "arabic": 0, "cyrillic": 0, "han": 0}
+    out = dict.fromkeys(_SCRIPTS, 0)
+    for script, pattern in _SCRIPTS.items():
+        out[script] = _length(pattern, text) * (2 if script == "han" else 1)
+        if out[script] > len(text) // 2:  # the others are the smaller part
+            break
+    return out
 
 
-def identify(text: str) -> tuple[str, float]:
+def identify(text: str, counts: dict[str, int] | None = None) -> tuple[str, float]:
     """(language, evidence): the language that most speaks for, "" if nothing does; evidence is the number of
     short words by which it leads, large where the script alone decides."""
-    counts = script_counts(text)
+    counts = counts or script_counts(text)
     script, most = max(counts.items(), key=lambda x: x[1])
     if not most:
         return "", 0.0
@@ -57,11 +76,15 @@ def identify(text: str) -> tuple[str, float]:
     if script == "han":
         return "zh", 9.0
     if script == "arabic":
-        words = _TOKEN.findall(text.translate(_FORMS).replace("‌", " "))
-        fa = sum(w in _FA for w in words) + len(_PERSIAN_ONLY.findall(text)) / 2
-        ar = sum(w in _AR for w in words) + len(_ARABIC_ONLY.findall(text)) / 2
-        ar += sum(w.startswith("ال") and len(w) > 4 for w in words) / 2
+        persian, arabic = len(_PERSIAN_ONLY.findall(text)), len(_ARABIC_ONLY.findall(text)) + len(_ARTICLE.findall(text))
+        if persian >= 6 and persian > 3 * arabic:
+            return "fa", float(persian)
+        words = Counter(_TOKEN.findall(_persian_forms(text).replace("‌", " ")))
+        fa = sum(words[w] for w in words.keys() & _FA) + persian / 2
+        ar = sum(words[w] for w in words.keys() & _AR) + arabic / 2
         return ("fa", fa - ar) if fa >= ar else ("ar", ar - fa)
-    words = [w.lower() for w in _TOKEN.findall(text)]
-    scores = sorted(((sum(w in WORDS[lang] for w in words), lang) for lang in ("en", "fr", "de", "es")), reverse=True)
+    words = Counter(_TOKEN.findall(text.lower()))
+    found = words.keys() & _LATIN_SHORT
+    score = lambda lang: sum(words[w] for w in found if w in WORDS[lang])
+    scores = sorted(((score(lang), lang) for lang in _LATIN_LANGUAGES), reverse=True)
     return (scores[0][1], float(scores[0][0] - scores[1][0])) if scores[0][0] else ("", 0.0)

@@ -33,18 +33,33 @@ CLIP = 6000
 
 _MARKER = re.compile(r"<<<\s*\d+\s*>>>")
 _FENCE = re.compile(r"```[\w+-]*")
-_INVISIBLE = re.compile("[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe0f\ufeff]")
+_INVISIBLE = re.compile("[\xad\u200b\u200d-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe0f\ufeff]")
+_ACCENTS = re.compile("[\\u0300-\\u036f\\u064b-\\u065f\\u0670]")
+_NO_LETTERS = re.compile(r"[\W_]+")
 _FORMS = str.maketrans("يىك٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ییک01234567890123456789")
 
 
 def core(text: str) -> str:
-    """A text without segment markers, code fences and invisible characters."""
-    return _INVISIBLE.sub("", _FENCE.sub(" ", _MARKER.sub(" ", text)))
+    """A text without segment markers, code fences and invisible characters but non-joiners."""
+    if "<<<" in text:
+        text = _MARKER.sub(" ", text)
+    if "```" in text:
+        text = _FENCE.sub(" ", text)
+    return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
 def _plain(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text).translate(_FORMS).casefold()
-    return "".join(c for c in text if not unicodedata.combining(c))
+    if text.isascii():
+        return text.casefold()
+    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text)).translate(_FORMS).casefold()
+
+
+def _letters(text: str) -> int:
+    return len(_NO_LETTERS.sub("", text))
+
+
+def _numbers(text: str) -> list[str]:
+    return [n if n.isascii() else n.translate(_FORMS) for n in _NUMBER.findall(text)]
 
 
 def _grams(text: str) -> Counter[str]:
@@ -60,7 +75,7 @@ def _overlap(answer: str, source: str, mine: dict[str, int], theirs: dict[str, i
     Texts without a common script share nothing; very short ones only if they are the same."""
     if not any(mine[k] and theirs[k] for k in mine) and any(theirs.values()):
         return 0.0, 0.0, 0.0
-    a, b = _grams(answer), _grams(source)
+    a, b = _grams(_plain(answer)), _grams(_plain(source))
     n, m = sum(a.values()), sum(b.values())
     shared = sum((a & b).values())
     of_answer, of_source = shared / max(1, n), shared / max(1, m)
@@ -82,7 +97,7 @@ _DECLINE = re.compile(
     r"не могу|невозможно|отказ|لا استطيع|لا استطیع|لا یمکننی|اعتذر|غیر قادر|无法|不能|拒绝"
 )
 _TASK = re.compile(
-    r"translat|traduc|traduire|ubersetz|перевод|перевест|翻译|ترجم|request|anfrage|solicitud|درخواست|"
+    r"translat|traduc|traduire|[uü]bersetz|перевод|перевест|翻译|ترجم|request|anfrage|solicitud|درخواست|"
     r"language model|مدل زبان|content|محتوا|instruction|دستورالعمل|policy|guideline|safety|"
     r"excerpt|passage|fragment|material|this (?:one|part|text)|قطعه|این بخش|این متن|version"
 )
@@ -98,6 +113,8 @@ _STOP = re.compile("[.!?。！？؟۔…]+[»”\"'’)\\]]*")
 _STOPPED = re.compile("[.!?。！？؟۔»”\"'’)\\]]\\s*$")
 _OPEN_END = re.compile("[…\\[(«“\\-،,:]\\s*$|\\.\\.\\.\\s*$")
 _NUMBER = re.compile(r"\d+")
+_SAYS = re.compile(r"[\w¤]").search
+_SAID = re.compile(r":\s*¤\s*")
 
 
 def units(text: str) -> int:
@@ -105,12 +122,12 @@ def units(text: str) -> int:
     total = 0
     for line in text.split("\n"):
         line = line.strip()
-        if not re.search(r"\w", line):
+        if not _SAYS(line):
             continue
         plain = _QUOTED.sub(" ¤ ", line)
-        plain = re.sub(r":\s*¤\s*", " ¤. ", plain)
-        parts = [p for p in _STOP.split(plain) if re.search(r"[\w¤]", p)]
-        total += max(1, len(parts))
+        if "¤" in plain:
+            plain = _SAID.sub(" ¤. ", plain)
+        total += max(1, sum(1 for p in _STOP.split(plain) if _SAYS(p)))
     return total
 
 
@@ -118,16 +135,16 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
     """The votes on one pair, by defect, and what the vote on its length needs."""
     source, raw = source or "", answer or ""
     raw_source = source
-    fixed = repair(source)
+    fixed = repair(source, western=False)
     source = core(fixed.text if fixed else source)
     text = core(raw)
-    letters = sum(c.isalnum() for c in text)
-    source_letters = sum(c.isalnum() for c in source)
+    letters, source_letters = _letters(text), _letters(source)
     counts = script_counts(text)
     known = sum(counts.values())
     persian_share = counts["arabic"] / known if known else 0.0
-    language, evidence = identify(text)
-    origin, origin_evidence = identify(source)
+    language, evidence = identify(text, counts)
+    source_counts = script_counts(source)
+    origin, _ = identify(source, source_counts)
     votes: dict[str, list[int]] = {}
 
     nothing = letters == 0
@@ -140,25 +157,33 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
         votes |= {"refusal": [-1] * 4, "copied": [-1] * 3, "wrong_language": [-1] * 3, "truncated": [-1] * 3}
         return {"votes": votes, "origin": origin, "ratio": None, "open": False}
 
-    plain = re.sub(r"\s+", " ", _plain(text).replace("’", "'"))
-    head = plain[:240]
-    declines, task, sorry = _DECLINE.search(head), _TASK.search(head), _SORRY.search(plain[:400])
-    same = _plain(source)
-    of_answer, of_source, copied = _overlap(plain, same, counts, script_counts(source))
-    digits = set(_NUMBER.findall(same))
+    # most answers name no task at their head, and need no closer look
+    start = text[:480].replace("\u200c", "")
+    task = _TASK.search(start.casefold().replace("ي", "ی"))
+    declines = sorry = None
+    if task:
+        head = re.sub(r"\s+", " ", _plain(start).replace("’", "'"))
+        declines, sorry = _DECLINE.search(head[:240]), _SORRY.search(head[:400])
+    length = len(text)
+    # a Persian answer copies nothing but a Persian source, which may be returned
+    rendering = language == "fa" and persian_share > 0.6
+    of_answer, of_source, copied = (0.0, 0.0, 0.0) if rendering else _overlap(text, source, counts, source_counts)
+    numbers = _numbers(source)
+    mine_numbers = set(_numbers(text))
+    source_units, answer_units = units(source), units(text)
     votes["refusal"] = [
         1 if declines and task else -1,
-        1 if task and (declines or sorry) else 0 if declines and sorry else -1,
-        -1 if len(plain) > 420 or copied > 0.5 else 0 if len(plain) > 260 else 1 if task and (declines or sorry) else 0,
-        -1 if digits & set(_NUMBER.findall(plain)) or units(text) > 5 else 0,
+        1 if task and (declines or sorry) else -1,
+        -1 if length > 420 or copied > 0.5 else 0 if length > 260 else 1 if task and (declines or sorry) else 0,
+        -1 if mine_numbers.intersection(numbers) or answer_units > 5 else 0,
     ]
-    refused = votes["refusal"][:2] == [1, 1] and len(plain) <= 420 and copied <= 0.5
+    refused = votes["refusal"][:2] == [1, 1] and length <= 420 and copied <= 0.5
 
     persian_source = origin == "fa"
     own = [-1, -1, -1] if persian_source or refused else [
         1 if copied >= 0.7 else -1 if copied <= 0.4 else 0,
         1 if min(of_answer, of_source) >= 0.5 else -1 if max(of_answer, of_source) <= 0.3 else 0,
-        -1 if language == "fa" and persian_share > 0.6 else 1 if language == origin and language else 0,
+        -1 if rendering else 1 if language == origin and language else 0,
     ]
     votes["copied"] = own
 
@@ -170,7 +195,6 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
     ]
 
     rendered = persian_share > 0.5 and language == "fa" and not refused
-    source_units, answer_units = units(source), units(text)
     ratio = math.log(letters / source_letters) if rendered and source_letters >= 12 else None
     clipped = len(raw_source) >= CLIP - 12
     stopped = bool(_STOPPED.search(text)) and not re.search("[\\[(«“]\\s*$", text)
@@ -184,9 +208,7 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
         votes["truncated"] = [-1, -1, -1]
     else:
         share = answer_units / max(1, source_units)
-        numbers = _NUMBER.findall(same)
         late = set(numbers[len(numbers) // 2 :]) if len(numbers) >= 2 else set()
-        mine_numbers = set(_NUMBER.findall(plain))
         votes["truncated"] = [
             0 if source_units < 3 and share >= 0.5 else 1 if share < 0.7 else -1 if share >= 0.8 else 0,
             1 if open_end or _OPEN_END.search(text) and not clipped and not leads_on else -1 if stopped or heading else 0,

@@ -43,6 +43,7 @@ class Job:
         self.state = "pending"
         self.run_result: Run | None = None
         self._found: DataFrame | None = None
+        self._results: DataFrame | None = None
 
     def cancel(self) -> None:
         """Stops before the next round; what is done is in the checkpoint."""
@@ -122,7 +123,7 @@ class Job:
         if entries is not None:
             old = cache.lookup(self._found, entries).where("translation IS NOT NULL").select("doc_id", "seg_id", "translation")
             results = cache.merge(old, results, ["doc_id", "seg_id"])
-        results = settle(results, "results")
+        results = self._results = settle(results, "results")
         built = settle(self._build(results), "built")
         self.state = "cancelled" if self._cancelled else "waiting" if self.run_result.stopped else "done"
         return built
@@ -167,12 +168,20 @@ class Job:
         return sources.pages_to_word(layouts.build_pages(joined.unionByName(raw)))
 
     def progress(self) -> dict:
-        """The job's state and counts."""
+        """The job's state and counts, while it runs and after; `percent` is of characters."""
+        out = {"status": self.state, "total_segments": 0, "done_segments": 0, "failed_segments": 0, "rounds": 0, "percent": 0.0}
         if self._found is None:
-            return {"status": self.state, "total_segments": 0, "failed_segments": 0, "rounds": 0}
-        failed = self.run_result.failures.count() if self.run_result else 0
-        rounds = self.run_result.rounds if self.run_result else 0
-        return {"status": self.state, "total_segments": self._found.count(), "failed_segments": failed, "rounds": rounds}
+            return out
+        sizes = self._found.select("doc_id", "seg_id", F.length("text").alias("n"))
+        whole = sizes.agg(F.count(F.lit(1)).alias("segments"), F.sum("n").alias("chars")).first()
+        out["total_segments"] = whole["segments"]
+        if self._results is not None:
+            done = sizes.join(self._results.select("doc_id", "seg_id"), ["doc_id", "seg_id"], "left_semi")
+            part = done.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars")).first()
+            out |= {"done_segments": part["segments"], "percent": round(100 * part["chars"] / max(1, whole["chars"] or 0), 1)}
+        if self.run_result:
+            out |= {"failed_segments": self.run_result.failures.count(), "rounds": self.run_result.rounds}
+        return out
 
 
 def default_checkpoint(spark: SparkSession) -> str:

@@ -42,6 +42,14 @@ def used_for(providers: DataFrame, mode: Column) -> DataFrame:
     return providers.where("enabled AND problem IS NULL").where(F.array_contains("roles", mode_role(mode)))
 
 
+def skipped(providers: DataFrame, mode: Column) -> DataFrame:
+    """(name, note) of the enabled providers that a mode has no use for."""
+    role = mode_role(mode)
+    rest = providers.where("enabled AND problem IS NULL").where(~F.array_contains("roles", role))
+    note = F.concat(F.col("name"), F.lit(": only for "), F.array_join("roles", ", "))
+    return rest.select("name", note.alias("note"))
+
+
 def endpoints(providers: DataFrame) -> DataFrame:
     """(name, url, key_no, key_label, concurrency): one row for each key, and one for a provider without any."""
     rows = providers.select("name", chat_url(F.col("base_url")).alias("url"), "concurrency", F.posexplode_outer("keys").alias("key_no", "key"))

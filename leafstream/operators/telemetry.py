@@ -239,6 +239,14 @@ def provider_status(keys: DataFrame, disabled: Column, cooling_until: Column, bu
     )
 
 
+def earliest_retry(keys: DataFrame) -> DataFrame:
+    """(retry_in, provider) of the key that can be used again first, over all providers' live keys; no row without
+    any. `keys` are as :func:`key_stats` gives them."""
+    live = keys.where("NOT dead")
+    first = live.groupBy("provider").agg(F.min("retry_in").alias("retry_in"))
+    return first.agg(F.min(F.struct("retry_in", "provider")).alias("r")).where("r IS NOT NULL").select("r.*")
+
+
 def log_tail(lines: DataFrame, most: int = 2000, keep: int = 1500) -> DataFrame:
     """A log's lines (line_no, line): the last `keep` once there are more than `most`."""
     count, last = lines.agg(F.count(F.lit(1))).scalar(), lines.agg(F.max("line_no")).scalar()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leafstream.functions.text import extension, file_hash
 from leafstream.sources import books, word
+from leafstream.sources.plain import translatable
 
 #: Formats by ending, and what each is written as.
 OUTPUTS = {".txt": ".txt", ".md": ".txt", ".srt": ".srt", ".epub": ".epub", ".docx": ".docx", ".pdf": ".docx"}
@@ -133,23 +135,38 @@ def pages_to_word(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "pages").mapInArrow(write, "doc_id string, content binary")
 
 
+def _page_texts(content: bytes) -> list[str]:
+    """The pages' texts of a PDF file, by whichever library that reads them is installed; one without any text, as
+    of pictures of pages, is refused."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        PdfReader = None
+    if PdfReader:
+        reader = PdfReader(io.BytesIO(content))
+        if reader.is_encrypted and not reader.decrypt(""):
+            raise RuntimeError("the PDF file is protected by a password")
+        found = [page.extract_text() or "" for page in reader.pages]
+    else:
+        try:
+            import pdfplumber
+        except ImportError as e:
+            raise RuntimeError("PDF files need pypdf or pdfplumber; or give their pages as a table (doc_id, page_no, text)") from e
+        with pdfplumber.open(io.BytesIO(content)) as document:
+            found = [page.extract_text() or "" for page in document.pages]
+    if not any(map(translatable, found)):
+        raise ValueError("no text in the PDF file: its pages are probably pictures")
+    return found
+
+
 def pdf_pages(files: DataFrame) -> DataFrame:
     """(doc_id, page_no, text) of PDF files, where a library that reads them is installed on the executors."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        try:
-            from pypdf import PdfReader
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs pypdf; or give their pages as a table (doc_id, page_no, text)") from e
         for batch in batches:
             rows = []
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                reader = PdfReader(io.BytesIO(content))
-                if reader.is_encrypted:
-                    reader.decrypt("")
-                rows += [(doc_id, no, page.extract_text() or "") for no, page in enumerate(reader.pages)]
+                rows += [(doc_id, no, text) for no, text in enumerate(_page_texts(content))]
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], names=["doc_id", "page_no", "text"])
 

@@ -103,7 +103,8 @@ def test_job_and_resume(spark, folder):
     assert out["b.fa.srt"].decode().count("‏") == 2 and "‏HI" in out["b.fa.srt"].decode()
     assert [t for _, _, t in word.paragraphs(bytes(out["d.fa.docx"]))] == ["HELLO WORLD", "END", "CELL", "HEAD"]
     assert "ONE" in [t for _, _, t in books.blocks(bytes(out["c.fa.epub"]))]
-    assert job.progress()["status"] == "done" and job.progress()["failed_segments"] == 0
+    told = job.progress()
+    assert told["status"] == "done" and told["failed_segments"] == 0 and told["done_segments"] == told["total_segments"] and told["percent"] == 100.0
 
     def none(service, key, prompt, settings):
         raise AssertionError("nothing is left to do")

@@ -58,6 +58,7 @@ def test_configured(spark):
     assert ("provider", None) in rows and ("c", "no URL") in rows and ("d", "no model") in rows and ("e", "name is not unique") in rows
     configured = pools.configured(raw)
     assert sorted(r["name"] for r in pools.used_for(configured, F.lit("refine")).collect()) == ["a", "provider"]
+    assert {r["name"]: r["note"] for r in pools.skipped(pools.configured(raw.where("name = 'e'").limit(1).unionByName(raw.where("name = 'a'"))), F.lit("refine")).collect()} == {}
     labels = [(r["name"], r["key_no"], r["key_label"]) for r in pools.endpoints(configured.where("name IN ('a', 'provider')")).orderBy("name", "key_no").collect()]
     assert labels == [("a", 0, "…"), ("a", 1, "…"), ("provider", 0, "(no key)")]
 
@@ -105,6 +106,9 @@ def test_keys(spark):
     found = {(r["provider"], r["key_label"]): tuple(r)[2:] for r in telemetry.key_stats(log(spark, rows)).collect()}
     assert found["a", "k"] == (4, False, "quota", 2, 3600)
     assert found["a", "m"] == (1, False, "rate_limit", 0, 40)
+    first = telemetry.earliest_retry(telemetry.key_stats(log(spark, rows))).first()
+    assert (first["retry_in"], first["provider"]) == (40, "a")
+    assert telemetry.earliest_retry(telemetry.key_stats(log(spark, rows).limit(0))).count() == 0
     assert found["a", "n"][2] == "" and found["b", "x"][:3] == (1, True, "auth")
 
 

@@ -88,7 +88,7 @@ def _(s, d):
        FROM part p LEFT JOIN setting s ON s.job_id = p.job_id""",
 )
 def _(s, d):
-    rows = R.parts(s, d).select("part_id", "job_id", "translation").join(R.job_settings(s, d).select("job_id", "persian_digits"), "job_id", "left")
+    rows = R.parts(s, d, "job_id", "translation").select("part_id", "job_id", "translation").join(R.job_settings(s, d).select("job_id", "persian_digits"), "job_id", "left")
     return rows.select("part_id", T.normalize_persian(F.col("translation"), F.coalesce("persian_digits", F.lit(False))).alias("normalized"))
 
 
@@ -334,7 +334,7 @@ def _(s, d):
         .when(kind == 2, F.concat(F.lit("```text\n"), T.strip(t), F.lit("\n```")))
         .otherwise(t)
     )
-    rows = R.parts(s, d).where("translation IS NULL OR translation NOT LIKE '%```%'")
+    rows = R.parts(s, d, "translation").where("translation IS NULL OR translation NOT LIKE '%```%'")
     return rows.select("part_id", F.md5(prompts.clean_output(wrapped)).alias("digest"))
 
 
@@ -351,7 +351,7 @@ def _(s, d):
     raw = (
         F.when(kind == 1, '{"error": {"message": "too many requests"}}').when(kind == 2, "<html>").when(kind == 3, good("length")).otherwise(good("stop"))
     )
-    rows = R.parts(s, d).where("translation IS NULL OR translation NOT LIKE '%```%'")
+    rows = R.parts(s, d, "translation").where("translation IS NULL OR translation NOT LIKE '%```%'")
     return rows.select("part_id", P.answer(raw)["kind"].alias("kind"))
 
 
@@ -369,7 +369,7 @@ def _(s, d):
 def _(s, d):
     n = F.col("attempt_id") % 4
     body = F.when(n == 0, "quota exceeded for today").when(n == 1, "limit per minute, daily quota").when(n == 2, "maximum context length").otherwise("")
-    return R.attempts(s, d).select("attempt_id", P.error_kind(F.col("status_code"), body).alias("kind"))
+    return R.attempts(s, d, "status_code").select("attempt_id", P.error_kind(F.col("status_code"), body).alias("kind"))
 
 
 @_query(
@@ -380,7 +380,7 @@ def _(s, d):
 )
 def _(s, d):
     n, wait = F.col("attempt_no"), F.col("retry_after")
-    return R.attempts(s, d).select("attempt_id", P.quota_pause(n, wait).alias("quota"), P.rate_pause(n, wait).alias("rate"), P.error_pause(n).alias("error"))
+    return R.attempts(s, d, "attempt_no", "retry_after").select("attempt_id", P.quota_pause(n, wait).alias("quota"), P.rate_pause(n, wait).alias("rate"), P.error_pause(n).alias("error"))
 
 
 # ---- providers and settings --------------------------------------------------------------------------------
@@ -485,7 +485,7 @@ def _(s, d):
 def _(s, d):
     old = cache.lookup(_keyed(s, d), R.checkpoint(s, d)).where("translation IS NOT NULL").select("job_id", "seg_id", "translation")
     single = R.chunks(s, d, "seg_ids").where(F.size("seg_ids") == 1).select("chunk_id", F.get("seg_ids", F.lit(0)).alias("seg_id"))
-    new = R.parts(s, d).where("translation IS NOT NULL AND provider IS NOT NULL").join(single, "chunk_id").select("job_id", "seg_id", "translation")
+    new = R.parts(s, d, "chunk_id", "job_id", "provider", "translation").where("translation IS NOT NULL AND provider IS NOT NULL").join(single, "chunk_id").select("job_id", "seg_id", "translation")
     return cache.merge(old, new, ["job_id", "seg_id"])
 
 
@@ -503,6 +503,9 @@ def _(s, d):
     return telemetry.job_progress(table(s, d, "jobs"), looked, looked.where("translation IS NOT NULL"))
 
 
+_KEY_COLUMNS = ("key_label", "outcome", "retry_after", "attempted_at")
+_POINT_COLUMNS = ("job_id", "outcome", "chars", "attempted_at")
+
 # ---- telemetry ---------------------------------------------------------------------------------------------
 
 
@@ -514,7 +517,7 @@ def _(s, d):
             count(DISTINCT key_label) AS keys_total, count(DISTINCT key_label) FILTER (outcome = 'auth') AS keys_dead FROM attempt GROUP BY provider""",
 )
 def _(s, d):
-    return telemetry.provider_stats(R.attempts(s, d))
+    return telemetry.provider_stats(R.attempts(s, d, "key_label", "outcome", "chars", "seconds"))
 
 
 @_query(
@@ -528,7 +531,7 @@ def _(s, d):
         FROM marks m LEFT JOIN k l ON l.provider = m.provider AND l.key_label = m.key_label AND l.n = m.last_n""",
 )
 def _(s, d):
-    return telemetry.key_stats(R.attempts(s, d)).select("provider", "key_label", "uses", "dead", "kind", "quota_hits")
+    return telemetry.key_stats(R.attempts(s, d, *_KEY_COLUMNS)).select("provider", "key_label", "uses", "dead", "kind", "quota_hits")
 
 
 _HISTORY = """, point AS (
@@ -541,7 +544,7 @@ _HISTORY = """, point AS (
 
 @_query("progress_history", _HISTORY + " SELECT job_id, attempt_id, CAST(done_chars AS BIGINT) AS done_chars, point_no FROM point")
 def _(s, d):
-    return telemetry.history(R.attempts(s, d)).select("job_id", "attempt_id", "done_chars", "point_no")
+    return telemetry.history(R.attempts(s, d, *_POINT_COLUMNS)).select("job_id", "attempt_id", "done_chars", "point_no")
 
 
 @_query(
@@ -559,7 +562,7 @@ def _(s, d):
 )
 def _(s, d):
     totals = R.chunks(s, d, "job_id", "chars").groupBy("job_id").agg(F.sum(F.col("chars").cast("long")).alias("total_chars"))
-    return telemetry.speed_series(R.attempts(s, d), totals).select("job_id", "attempt_id", "point_no", "chars_per_min", "eta_seconds")
+    return telemetry.speed_series(R.attempts(s, d, *_POINT_COLUMNS), totals).select("job_id", "attempt_id", "point_no", "chars_per_min", "eta_seconds")
 
 
 @_query(
@@ -569,7 +572,7 @@ def _(s, d):
         ) WHERE position <= 5""",
 )
 def _(s, d):
-    return telemetry.recent(R.parts(s, d).select("job_id", "part_id", "finished_at")).select("job_id", "position", "part_id")
+    return telemetry.recent(R.parts(s, d, "job_id", "finished_at")).select("job_id", "position", "part_id")
 
 
 @_query(
@@ -578,7 +581,7 @@ def _(s, d):
        FROM (SELECT provider, key_label, count_if(outcome = 'auth') AS auth FROM attempt WHERE key_label IS NOT NULL GROUP BY ALL) GROUP BY provider""",
 )
 def _(s, d):
-    keys = telemetry.key_stats(R.attempts(s, d)).groupBy("provider").agg(
+    keys = telemetry.key_stats(R.attempts(s, d, *_KEY_COLUMNS)).groupBy("provider").agg(
         F.collect_list(F.struct("dead", F.lit(0.0).alias("cooldown_until"), "kind")).alias("keys")
     )
     status = telemetry.provider_status(F.col("keys"), F.lit(False), F.lit(0.0), F.lit(0), F.lit(1.0))

@@ -28,13 +28,16 @@ def segments(spark: SparkSession, directory: str) -> DataFrame:
     ).select("chunk_id", "job_id", "file_hash", "chunk_no", "text_no", F.col("_s.seg_ids").alias("seg_id"), F.col("_s.texts").alias("text"))
 
 
-def parts(spark: SparkSession, directory: str) -> DataFrame:
-    """Each finished part once, as logged last."""
-    return deduplicated(table(spark, directory, "recent_parts"), "part_id", "logged_at")
+def parts(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
+    """Each finished part once, as logged last; only the columns named are read."""
+    wanted = ["part_id", *columns] + [c for c in ("logged_at",) if c not in columns]
+    return deduplicated(table(spark, directory, "recent_parts").select(*wanted), "part_id", "logged_at")
 
 
-def attempts(spark: SparkSession, directory: str) -> DataFrame:
-    return attempts_of(table(spark, directory, "attempts"))
+def attempts(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
+    """Each attempt once, as logged last; only the columns named are read, and the provider."""
+    wanted = ["attempt_id", "provider", *columns] + [c for c in ("logged_at",) if c not in columns]
+    return attempts_of(table(spark, directory, "attempts").select(*wanted))
 
 
 def job_settings(spark: SparkSession, directory: str) -> DataFrame:
@@ -54,6 +57,6 @@ def job_settings(spark: SparkSession, directory: str) -> DataFrame:
 def checkpoint(spark: SparkSession, directory: str) -> DataFrame:
     """(file_hash, mode, seg_sha1, translation, written_at): what the finished parts of one segment give."""
     single = chunks(spark, directory, "job_id", "texts").where(F.size("texts") == 1).select("chunk_id", "job_id", F.get("texts", F.lit(0)).alias("text"))
-    finished = parts(spark, directory).select("chunk_id", "file_hash", "translation", F.col("finished_at").alias("written_at"))
+    finished = parts(spark, directory, "chunk_id", "file_hash", "translation", "finished_at").select("chunk_id", "file_hash", "translation", F.col("finished_at").alias("written_at"))
     rows = finished.join(single.where("text IS NOT NULL"), "chunk_id").join(job_settings(spark, directory).select("job_id", "mode"), "job_id")
     return rows.select("file_hash", "mode", segment_hash(F.col("text")).alias("seg_sha1"), "translation", "written_at")

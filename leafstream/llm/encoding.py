@@ -69,6 +69,11 @@ def _automaton(page: dict[str, int], gaps: bool) -> re.Pattern[str]:
 #: The characters of each page that can begin a sequence, and those that can go on with it.
 _LEADS = {name: frozenset(c for c, b in page.items() if 0xC2 <= b <= 0xF4) for name, page in _BYTES.items()}
 _GO_ON = {name: frozenset(LOST).union(c for c, b in page.items() if 0x80 <= b <= 0xBF) for name, page in _BYTES.items()}
+#: A beginning and a going-on of any page: where they don't meet there is no sequence.
+_MEET = re.compile(
+    "[" + "".join(map(re.escape, sorted(frozenset().union(*_LEADS.values()))))
+    + "][" + "".join(map(re.escape, sorted(frozenset().union(*_GO_ON.values())))) + "]"
+)
 _SPANS = {name: _automaton(page, name == "cp1252") for name, page in _BYTES.items()}
 
 _CYRILLIC = re.compile("[А-яЁё]")
@@ -156,6 +161,8 @@ def _sound(text: str, m: re.Match[str], chars: list[str], shown: str, sure: bool
 def _multibyte(text: str) -> tuple[str, list[str]]:
     """One round over all pages: the text with its well-formed spans decoded, and the pages at fault."""
     best: tuple[int, str, str] | None = None
+    if not _MEET.search(text):
+        return text, []
     present = set(text)
     for shown in SHOWN:
         if present.isdisjoint(_LEADS[shown]) or present.isdisjoint(_GO_ON[shown]):

@@ -28,7 +28,6 @@ _LATIN = re.compile("[A-Za-zÀ-ɏ]+")
 _ARABIC = re.compile("[ء-غف-يٱ-ۓ]+")
 _CYRILLIC = re.compile("[Ѐ-ӿ]+")
 _HAN = re.compile("[㐀-鿿]+")
-_TOKEN = re.compile(r"[^\W\d_]+")
 _LATIN_LANGUAGES = ("en", "fr", "de", "es")
 _LATIN_SHORT = frozenset().union(*(WORDS[lang] for lang in _LATIN_LANGUAGES))
 _ARTICLE = re.compile(r"\bال[^\W\d_]{3}")
@@ -79,11 +78,12 @@ def identify(text: str, counts: dict[str, int] | None = None) -> tuple[str, floa
         persian, arabic = len(_PERSIAN_ONLY.findall(text)), len(_ARABIC_ONLY.findall(text)) + len(_ARTICLE.findall(text))
         if persian >= 6 and persian > 3 * arabic:
             return "fa", float(persian)
-        words = Counter(_TOKEN.findall(_persian_forms(text).replace("‌", " ")))
+        words = Counter(_persian_forms(text).replace("‌", " ").split())
         fa = sum(words[w] for w in words.keys() & _FA) + persian / 2
         ar = sum(words[w] for w in words.keys() & _AR) + arabic / 2
         return ("fa", fa - ar) if fa >= ar else ("ar", ar - fa)
-    words = Counter(_TOKEN.findall(text.lower()))
+    # short words hardly ever stand next to a mark
+    words = Counter(text.lower().split())
     found = words.keys() & _LATIN_SHORT
     score = lambda lang: sum(words[w] for w in found if w in WORDS[lang])
     scores = sorted(((score(lang), lang) for lang in _LATIN_LANGUAGES), reverse=True)

@@ -114,6 +114,7 @@ _STOPPED = re.compile("[.!?。！？؟۔»”\"'’)\\]]\\s*$")
 _OPEN_END = re.compile("[…\\[(«“\\-،,:]\\s*$|\\.\\.\\.\\s*$")
 _NUMBER = re.compile(r"\d+")
 _SAYS = re.compile(r"[\w¤]").search
+_QUOTES = re.compile("[“«„‘\"—]").search
 _SAID = re.compile(r":\s*¤\s*")
 
 
@@ -124,9 +125,11 @@ def units(text: str) -> int:
         line = line.strip()
         if not _SAYS(line):
             continue
-        plain = _QUOTED.sub(" ¤ ", line)
-        if "¤" in plain:
-            plain = _SAID.sub(" ¤. ", plain)
+        plain = line
+        if _QUOTES(line):
+            plain = _QUOTED.sub(" ¤ ", line)
+            if "¤" in plain:
+                plain = _SAID.sub(" ¤. ", plain)
         total += max(1, sum(1 for p in _STOP.split(plain) if _SAYS(p)))
     return total
 

@@ -44,6 +44,7 @@ class Job:
         self.run_result: Run | None = None
         self._found: DataFrame | None = None
         self._results: DataFrame | None = None
+        self._items: DataFrame | None = None
 
     def cancel(self) -> None:
         """Stops before the next round; what is done is in the checkpoint."""
@@ -72,13 +73,19 @@ class Job:
     def _has_pages(self) -> bool:
         return self.pages is not None or not self.files.where("ext = '.pdf'").isEmpty()
 
+    def _text_items(self) -> DataFrame:
+        """The layout of the plain texts, parsed once for the segments and for the build."""
+        if self._items is None:
+            typed = sources.texts(self.files).join(self.files.select("doc_id", "ext"), "doc_id")
+            self._items = settle(segmentation.text_items(typed.where("ext <> '.srt'")), "items")
+        return self._items
+
     def segments(self) -> DataFrame:
         """(doc_id, seg_id, text, place): the segments of all files; `place` says where a segment stands."""
         texts = sources.texts(self.files)
         kinds = self.files.select("doc_id", "ext")
         typed = texts.join(kinds, "doc_id")
-        items = segmentation.text_items(typed.where("ext <> '.srt'"))
-        plain = segmentation.numbered(items).select("doc_id", "seg_id", "text", F.concat_ws(":", "item_no", "piece_no").alias("place"))
+        plain = segmentation.numbered(self._text_items()).select("doc_id", "seg_id", "text", F.concat_ws(":", "item_no", "piece_no").alias("place"))
         cues = segmentation.subtitle_cues(typed.where("ext = '.srt'")).where("translatable")
         order = Window.partitionBy("doc_id").orderBy("cue_no")
         subtitles = cues.select("doc_id", (F.row_number().over(order) - 1).alias("seg_id"), F.col("body").alias("text"), F.col("cue_no").cast("string").alias("place"))
@@ -140,7 +147,7 @@ class Job:
 
     def _build(self, results: DataFrame) -> DataFrame:
         texts = sources.texts(self.files).join(self.files.select("doc_id", "ext"), "doc_id")
-        items = segmentation.text_items(texts.where("ext <> '.srt'"))
+        items = self._text_items()
         pieces = layouts.rendered(segmentation.numbered(items), results)
         plain = layouts.build_text(items, pieces)
         cues = segmentation.subtitle_cues(texts.where("ext = '.srt'"))

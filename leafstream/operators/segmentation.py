@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstream.functions.text import SPACE, is_translatable, leading, strip, trailing
+from leafstream.functions.text import SPACE, is_translatable, leading, strip
 
 #: The longest piece of a paragraph of plain text or of a page.
 PARAGRAPH = 4000
@@ -72,17 +72,21 @@ def text_items(documents: DataFrame, key: str = "doc_id", text: str = "text", mo
         lambda x: x["raw"].isNotNull(),
     )
     items = both.select(key, F.explode(alternating).alias("i")).select(key, "i.*")
-    segment = F.col("text") & is_translatable(F.col("raw"))
-    body = strip(F.col("raw"))
-    return items.select(
+    # each of these is computed once a row, however many columns take from it
+    judged = items.select(key, "item_no", "raw", (F.col("text") & is_translatable(F.col("raw"))).alias("_seg"))
+    bodies = judged.withColumn("_body", F.when(F.col("_seg"), strip(F.col("raw"))))
+    lead = F.when(F.col("_seg"), leading(F.col("raw")))
+    measured = bodies.withColumn("lead", lead).withColumn("_lined", F.contains("_body", F.lit("\n")))
+    after = F.length("lead") + F.length("_body") + 1
+    return measured.select(
         key,
         "item_no",
-        F.when(segment, "seg").otherwise("raw").alias("kind"),
+        F.when(F.col("_seg"), "seg").otherwise("raw").alias("kind"),
         "raw",
-        F.when(segment, leading(F.col("raw"))).alias("lead"),
-        F.when(segment, trailing(F.col("raw"))).alias("trail"),
-        F.when(segment, F.when(F.contains(body, F.lit("\n")), "\n").otherwise(" ")).alias("joiner"),
-        F.when(segment, split_long(body, most)).alias("pieces"),
+        "lead",
+        F.when(F.col("_seg"), F.substring("raw", after, F.length("raw"))).alias("trail"),
+        F.when(F.col("_lined"), "\n").when(F.col("_seg"), " ").alias("joiner"),
+        F.when(F.length("_body") <= most, F.array("_body")).when(F.col("_seg"), split_long(F.col("_body"), most)).alias("pieces"),
     )
 
 

@@ -16,7 +16,7 @@ from leafstream.operators import providers as pools
 from leafstream.operators.dispatch import Key, Provider, Settings, dispatch
 from leafstream.operators.services import Echo
 from leafstream.plans import run_tables as R
-from leafstream.sources.shared import shared_folder
+from leafstream.sources.shared import settle, shared_folder
 from leafstream.sources.tables import table
 from leafstream.streaming import progress as live
 
@@ -209,9 +209,10 @@ def _(s, d):
 
 @_query("text_round_trip", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    items = segmentation.text_items(table(s, d, "documents"))
-    pieces = segmentation.numbered(items)
-    built = layouts.build_text(items, layouts.rendered(pieces, pieces.limit(0).withColumn("translation", F.col("text"))))
+    # the layout is read twice, for the pieces and for the build: parsed once
+    items = settle(segmentation.text_items(table(s, d, "documents")), "items")
+    none = s.createDataFrame([], "doc_id bigint, seg_id int, translation string")
+    built = layouts.build_text(items, layouts.rendered(segmentation.numbered(items), none))
     return built.select("doc_id", F.md5("text").alias("digest"))
 
 

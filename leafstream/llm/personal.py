@@ -120,7 +120,8 @@ _GIVEN_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD})((?: [{_UP}]\.)?) ({_WORD})(
 _COMMA_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD}), ({_WORD}|[{_UP}]\.)(?![\w@/\\]|\.\w)")
 _INITIAL_NAME = re.compile(rf"(?<![\w@./\\-])[{_UP}]\.(?: ?[{_UP}]\.)? ({_WORD})(?![\w@/\\]|\.\w)")
 _INITIAL_AT = re.compile(rf"[{_UP}]\. [{_UP}][a-zß-ÿA-ZÀ-Þ]{{2}}")
-_LONE_NAME = re.compile(rf"({_WORD})(?![\w@/\\]|\.\w)")
+#: After a title's blank only, so that not every letter of a long run is tried.
+_LONE_NAME = re.compile(rf"(?<= )({_WORD})(?![\w@/\\]|\.\w)")
 _FA_NAME = re.compile(
     rf"(?<![\w‌])((?:{'|'.join(FEMALE_FA + MALE_FA)})(?:‌[ء-ۓ]+)?) ([ء-ۓ]+(?:‌[ء-ۓ]+)*)(?![\w‌])"
 )
@@ -166,8 +167,9 @@ def _keywords() -> ahocorasick.Automaton:
 
 
 _KEYWORDS = _keywords()
-#: Lines of encoded data, in which nothing is personal.
-_DATA = re.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=\s]{200,}?(?=\n|$|[\"')])|[A-Za-z0-9+/=]{400,}")
+#: Runs of encoded data, inside which nothing is personal; what else stands on their lines is searched.
+_DATA = re.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]{200,}|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{400,}")
+_DATA_ONLY = re.compile(r"[A-Za-z0-9+/=]+")
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ def find(text: str) -> list[Item]:
     """The personal data of a text, in order and without overlaps.
 
     Where kinds overlap, the earlier of e-mail, address, phone, identity number and name holds. Nothing is found
-    in long runs of encoded data.
+    inside long runs of encoded data, but all that stands before or after one on its line.
     """
     places: dict[int, set[tuple[int, int]]] = {k: set() for k in range(5)}
     last = [(-1, -1)] * 5
@@ -215,38 +217,45 @@ def find(text: str) -> list[Item]:
         return []
     found: list[Item] = []
     taken: list[tuple[int, int]] = []  # in order, none over another
+    data: list[tuple[int, int]] | None = None
+
+    def encoded(start: int, end: int) -> bool:
+        nonlocal data
+        if not _DATA_ONLY.fullmatch(text, start, end):
+            return False
+        if data is None:
+            data = [m.span() for m in _DATA.finditer(text)]
+        at = bisect.bisect_right(data, (start, len(text))) - 1
+        return at >= 0 and end <= data[at][1]
 
     def keep(start: int, end: int, kind: str) -> None:
+        if encoded(start, end):
+            return
         at = bisect.bisect_left(taken, (start, end))
         if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
             taken.insert(at, (start, end))
             found.append(Item(start, end, kind, text[start:end]))
 
-    def lines(kind: int) -> Iterator[tuple[int, int]]:
-        for start, end in sorted(places[kind]):
-            if end - start < 4000 or not _DATA.search(text, start, end):
-                yield start, end
-
-    for start, end in lines(0):
+    for start, end in sorted(places[0]):
         for m in _EMAIL.finditer(text, start, end):
             keep(m.start(), m.end(), "email")
-    for start, end in lines(3):
+    for start, end in sorted(places[3]):
         _, stop = _block(text, start)
         for pattern in _ADDRESSES:
             for m in pattern.finditer(text, start, stop):
                 if m.start() <= end:
                     keep(m.start(), _address_end(text, m), "address")
-    for start, end in lines(1):
+    for start, end in sorted(places[1]):
         for m in _PHONE.finditer(text, start, end):
             keep(m.start(), m.end(), "phone")
-    for start, end in lines(2):
+    for start, end in sorted(places[2]):
         for m in _ID.finditer(text, start, end):
             # digits alone are a number of anything, unless they are called one close by
             if not _DIGITS_ALONE.match(m.group()) or (
                 _ID_BEFORE.search(text, max(start, m.start() - 44), m.start()) or _ID_AFTER.match(text, m.end(), end)
             ):
                 keep(m.start(), m.end(), "id_number")
-    for start, end in lines(4):
+    for start, end in sorted(places[4]):
         for a, b in _names(text, start, end):
             keep(a, b, "name")
     return sorted(found, key=lambda i: i.start)

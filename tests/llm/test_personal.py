@@ -75,6 +75,27 @@ def test_encoded_data_and_length():
         assert len(personal.find(long)) == 8000
 
 
+def test_beside_encoded_data():
+    """What stands before or after encoded data on the same line is found, and nothing inside it."""
+    rnd = random.Random(2)
+    data = "".join(rnd.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(5000))
+    items = [(t, k, i) for t, k, i in CASES if "\n" not in t]
+    for run in (f'<img src="data:image/png;base64,{data}==">', f"data:image/png;base64,{data}", f"token {data} end", data[:300]):
+        for text, kind, item in items:
+            whole = f"{text} | {run} | {text}"
+            found = [i for i in personal.find(whole) if (i.kind, i.text) == (kind, item)]
+            assert [i.start < len(text) for i in found] == [True, False], (text, run[:30])
+    assert [i.text for i in personal.find(f"data:image/png;base64,{data} Anna Berg wrote\nx")] == ["Anna Berg"]
+    assert [i.text for i in personal.find(f"{'A' * 4000}/ping/a.b@host.example")] == ["a.b@host.example"]
+    assert personal.find(f"passport {'A' * 4000}=AB1234567=") == []
+    assert [i.text for i in personal.find("passport AB1234567")] == ["AB1234567"]
+
+
+def test_long_runs_take_no_longer():
+    text = "Anna Berg +12 " + "A" * 300_000 + "/ @ (at) passport, St rue weg "
+    assert [i.text for i in personal.find(text)] == ["Anna Berg"]
+
+
 DOCS = "doc_id bigint, text string"
 
 

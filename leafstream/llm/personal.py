@@ -1,7 +1,7 @@
 """Finding personal data in free text: e-mail addresses, phone and identity numbers, street addresses, names.
 
-One pass of a keyword automaton, and one short pattern for phone numbers, mark the places of a text where
-something of each kind may stand; only the lines around them are read with the full patterns.
+One pass of a keyword automaton, and short patterns for phone and identity numbers and for initials, mark the places
+of a text where something of each kind may stand; only the lines around them are read with the full patterns.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ _EMAIL = re.compile(
     rf"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*{_AT}[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)*{_DOT}[A-Za-z]{{2,}}"
     r"(?![\w-])"
 )
-_PLAIN_AT = re.compile(r"@|\(at\)|\[at\]|\sAT\s")
+#: What follows " at " in an address, and hardly elsewhere.
+_HOST = re.compile(rf"[A-Za-z0-9][A-Za-z0-9-]*{_DOT}[A-Za-z0-9]")
 #: Numbers as they are written in several countries. The groups of digits are kept apart from plain figures.
 _PHONE = re.compile(
     r"(?<![\w+./=#-])(?<!\d[ ,])"
@@ -81,11 +82,13 @@ _PHONE = re.compile(
     r"|[+۰][۰-۹]{2,3}[ -]?[۰-۹](?:[ -]?[۰-۹]){7,10})"
     r"(?![\w/]|[.-]\d)"
 )
-_PHONE_AT = re.compile(r"\+\d{1,3}[ .(-]?[\d(]|\(\d{3}\) ?\d{3}[-.]\d|\b00[1-9]\d|\b0\d{1,4}[ /.-]\d\d|\b[2-9]\d\d[-.]\d{3}[-.]\d{4}\b|[۰-۹]{2}")
+_PHONE_AT = re.compile(r"\+\d{1,3}[ .(-]?[\d(]|\(\d{3}\) ?\d{3}[-.]\d|\b00[1-9][\d-]|\b0\d{1,4}[ /.-]\d\d|\b[2-9]\d\d[-.]\d{3}[-.]\d{4}\b|[۰-۹]{2}")
 _ID = re.compile(
     r"(?<![\w.+/@-])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{3}[- ]\d{2}[- ]\d{4}|[0-9]{10}|[۰-۹]{10}"
     r"|(?:\d{3}-\d{6}-\d|[۰-۹]{3}-[۰-۹]{6}-[۰-۹])|[A-Z]{1,2}\d{7,8}|[XYZ]?\d{7,8}-?[A-Z])(?![\w@-]|\.\d)"
 )
+#: The forms of it that count without being called an identity number.
+_ID_AT = re.compile(r"(?<![\w.+/@-])(?:[A-Z]{1,2} ?\d\d ?\d\d ?\d\d|\d{7,8}-?[A-Z])")
 _DIGITS_ALONE = re.compile(r"[\d۰-۹ -]+$")
 _ID_BEFORE = re.compile(f"(?:{'|'.join(BEFORE_ID)})[^.;]*(?:\\b(?:no|nr|No|Nr)\\.[^.;]*)?$")
 _ID_AFTER = re.compile(r" (?:as|is|for)\b.{0,16}(?:identity|\bID\b)")
@@ -117,9 +120,9 @@ _ADDRESSES = (_ADDRESS_EN, _ADDRESS_FR, _ADDRESS_ES, _ADDRESS_DE, _ADDRESS_FA)
 
 _WORD = rf"[{_UP}][\w’]*(?:-[{_UP}][\w’]*)?"
 _GIVEN_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD})((?: [{_UP}]\.)?) ({_WORD})(?![\w@/\\]|\.\w)")
-_COMMA_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD}), ({_WORD}|[{_UP}]\.)(?![\w@/\\]|\.\w)")
+_COMMA_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD}), ([{_UP}]\.|{_WORD})(?![\w@/\\]|\.\w)")
 _INITIAL_NAME = re.compile(rf"(?<![\w@./\\-])[{_UP}]\.(?: ?[{_UP}]\.)? ({_WORD})(?![\w@/\\]|\.\w)")
-_INITIAL_AT = re.compile(rf"[{_UP}]\. [{_UP}][a-zß-ÿA-ZÀ-Þ]{{2}}")
+_INITIAL_AT = re.compile(rf"[{_UP}]\. [{_UP}][\w’-]{{4}}")
 #: After a title's blank only, so that not every letter of a long run is tried.
 _LONE_NAME = re.compile(rf"(?<= )({_WORD})(?![\w@/\\]|\.\w)")
 _FA_NAME = re.compile(
@@ -144,21 +147,32 @@ def _is_surname(word: str) -> bool:
     return len(word) > 4 and word.casefold().replace("i̇", "i").endswith(_ENDS)
 
 
+#: Blanks within a line.
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n"]
+#: Beside the kinds: a sign of an e-mail address if a host follows.
+_IF_HOST = 1 << len(KINDS)
+
+
 def _keywords() -> ahocorasick.Automaton:
-    """Each keyword with the kinds of which it is a sign."""
+    """Each keyword with the kinds of which it is a sign: whatever the patterns accept holds one, or is told by its shape."""
     out: dict[str, int] = {}
 
     def add(words: list[str], kind: int) -> None:
         for w in words:
             out[w] = out.get(w, 0) | 1 << kind
 
-    add(["@", "(at)", "[at]", " AT "], 0)
-    add(BEFORE_ID + ["QQ "], 2)
+    add(["@", "(at)", "[at]"], 0)
+    out |= {f"{a}{w}{b}": _IF_HOST for w in ("at", "AT") for a in _BLANKS for b in _BLANKS}
+    add(BEFORE_ID + ["identity", "ID"], 2)
     add([f" {w}" for w in STREET_EN.split("|")] + [f" {w} " for w in STREET_FR.split("|")], 3)
-    add([w.replace("\\", "") for w in STREET_ES.split("|")] + ["خیابان", "بلوار", "پلاک"], 3)
-    add(["straße ", "strasse ", "str. ", "gasse ", "weg ", "allee ", "platz ", "ring ", "damm ", "ufer ", "graben "], 3)
-    add([f"{w} " for w in FEMALE + MALE] + [f"{w}-" for w in FEMALE + MALE] + [f", {w}" for w in FEMALE + MALE], 4)
-    add([f"{w} " for w in FEMALE_FA + MALE_FA] + [f"{w} " for w in TITLES] + BEFORE_NAME, 4)
+    add([w.replace("\\", "") for w in STREET_ES.split("|")] + ["خیابان", "بلوار", "میدان"], 3)
+    add([w.replace("\\", "") + " " for w in STREET_DE.split("|")], 3)
+    given = FEMALE + MALE
+    given += [n.upper() for n in given]
+    add([f"{w} " for w in given] + [f"{w}-" for w in given] + [f", {w}" for w in given], 4)
+    add([f", {c}." for c in map(chr, range(0x180)) if re.match(f"[{_UP}]", c)], 4)
+    add([f"{w}{c}" for w in FEMALE_FA + MALE_FA for c in " \u200c"] + BEFORE_NAME, 4)
+    add([f"{w}{c}" for w in TITLES for c in [*_BLANKS, *":='\"("]], 4)
     automaton = ahocorasick.Automaton()
     for word, kinds in out.items():
         automaton.add_word(word, kinds)
@@ -190,29 +204,42 @@ def _block(text: str, at: int) -> tuple[int, int]:
     return start, len(text) if following < 0 else following
 
 
-def find(text: str) -> list[Item]:
-    """The personal data of a text, in order and without overlaps.
-
-    Where kinds overlap, the earlier of e-mail, address, phone, identity number and name holds. Nothing is found
-    inside long runs of encoded data, but all that stands before or after one on its line.
-    """
+def _places(text: str) -> dict[int, set[tuple[int, int]]]:
+    """For each kind, the lines in which something of it may stand."""
     places: dict[int, set[tuple[int, int]]] = {k: set() for k in range(5)}
     last = [(-1, -1)] * 5
+
+    def mark(k: int, at: int) -> None:
+        if not last[k][0] <= at < last[k][1]:
+            start = text.rfind("\n", 0, at) + 1
+            end = text.find("\n", at)
+            last[k] = (start, len(text) if end < 0 else end)
+            places[k].add(last[k])
+
     for at, kinds in _KEYWORDS.iter(text):
+        if kinds == _IF_HOST:
+            if _HOST.match(text, at + 1):
+                mark(0, at)
+            continue
         for k in range(5):
-            if kinds >> k & 1 and not last[k][0] <= at < last[k][1]:
-                start = text.rfind("\n", 0, at) + 1
-                end = text.find("\n", at)
-                last[k] = (start, len(text) if end < 0 else end)
-                places[k].add(last[k])
+            if kinds >> k & 1:
+                mark(k, at)
     for m in _PHONE_AT.finditer(text):
-        if not last[1][0] <= m.start() < last[1][1]:
-            start = text.rfind("\n", 0, m.start()) + 1
-            end = text.find("\n", m.start())
-            last[1] = (start, len(text) if end < 0 else end)
-            places[1].add(last[1])
+        mark(1, m.start())
+    for m in _ID_AT.finditer(text):
+        mark(2, m.start())
     for m in _INITIAL_AT.finditer(text):
         places[4].add(_block(text, m.start()))
+    return places
+
+
+def find(text: str) -> list[Item]:
+    """The personal data of a text, in order and without overlaps.
+
+    Where kinds overlap, the earlier of e-mail, address, phone, identity number and name holds. Nothing is found
+    inside long runs of encoded data, but all that stands before or after one on its line.
+    """
+    places = _places(text)
     if not any(places.values()):
         return []
     found: list[Item] = []
@@ -240,7 +267,8 @@ def find(text: str) -> list[Item]:
         for m in _EMAIL.finditer(text, start, end):
             keep(m.start(), m.end(), "email")
     for start, end in sorted(places[3]):
-        _, stop = _block(text, start)
+        # an address goes on over two more lines at most
+        _, stop = _block(text, _block(text, start)[1])
         for pattern in _ADDRESSES:
             for m in pattern.finditer(text, start, stop):
                 if m.start() <= end:
@@ -275,7 +303,9 @@ def _names(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         surname, given = m.group(1), m.group(2)
         # any word may stand before a comma and a name; a surname, or what follows a cue, is part of it
         cue = _BEFORE_NAME.search(text, max(start, m.start() - 40), m.start())
-        if not _is_given(surname) and (_is_surname(surname) and (_is_given(given) or given[-1] == ".") or cue and _is_given(given)):
+        # an initial before a surname belongs to that
+        initial = given[-1] == "." and not _follows(text, m.end(), line_end)
+        if not _is_given(surname) and (_is_surname(surname) and (_is_given(given) or initial) or cue and _is_given(given)):
             yield m.start(), m.end()
     at = start
     while m := _GIVEN_NAME.search(text, at, line_end):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -75,6 +76,60 @@ def test_encoded_data_and_length():
         assert len(personal.find(long)) == 8000
 
 
+# A line for each form that the patterns accept, with no other sign of its kind on it.
+FORMS = [
+    ("mail anna at host dot org now", "email", "anna at host dot org"),
+    ("mail anna\tat\thost.org now", "email", "anna\tat\thost.org"),
+    ("mail anna AT host [dot] org now", "email", "anna AT host [dot] org"),
+    ("call 001-2-5550174 now", "phone", "001-2-5550174"),
+    ("call 1-312-555-0176 now", "phone", "1-312-555-0176"),
+    ("call 020 7946 0132 now", "phone", "020 7946 0132"),
+    ("call ۰۰۹۸۲۱۵۵۵۰۱۷۴۲ now", "phone", "۰۰۹۸۲۱۵۵۵۰۱۷۴۲"),
+    ("id AB 12 34 56 C,", "id_number", "AB 12 34 56 C"),
+    ("id QQ123456C,", "id_number", "QQ123456C"),
+    ("id AB1234567,", "id_number", "AB1234567"),
+    ("id X1234567L,", "id_number", "X1234567L"),
+    ("id 79053363-V,", "id_number", "79053363-V"),
+    ("gave 958-61-9251 as an ID", "id_number", "958-61-9251"),
+    ("gave 0813070813 for identity", "id_number", "0813070813"),
+    ("in Fuchssteig 12, 88743 Moosbrück", "address", "Fuchssteig 12, 88743 Moosbrück"),
+    ("in Tannenhofstr. 30", "address", "Tannenhofstr. 30"),
+    ("میدان سروستان، شماره ۱۸۹", "address", "میدان سروستان، شماره ۱۸۹"),
+    ("خیابان سروستان\nکوچهٔ ۱۰\nپلاک ۱۸۹", "address", "خیابان سروستان\nکوچهٔ ۱۰\nپلاک ۱۸۹"),
+    ("says ANNA BERG now", "name", "ANNA BERG"),
+    ("says ANNA-MARIA BERG now", "name", "ANNA-MARIA BERG"),
+    ("says Halvorberg, ANNA now", "name", "Halvorberg, ANNA"),
+    ("says Halvorberg, A. now", "name", "Halvorberg, A."),
+    ("says Halvorberg, Č. now", "name", "Halvorberg, Č."),
+    ("in Weidenberg, A. Halvorberg now", "name", "A. Halvorberg"),
+    ("says A. Łęczyckova now", "name", "A. Łęczyckova"),
+    ("says K. O’Connorson now", "name", "K. O’Connorson"),
+    ("says Frau: Xaver Halvorberg now", "name", "Xaver Halvorberg"),
+    ("محمد‌جواد کهن‌رودی", "name", "محمد‌جواد کهن‌رودی"),
+]
+
+
+def _every_line(text):
+    ends = [m.start() for m in re.finditer(r"\n|\Z", text)]
+    return {k: set(zip([0, *(e + 1 for e in ends)], ends)) for k in range(5)}
+
+
+@pytest.mark.parametrize(("text", "kind", "item"), FORMS + CASES)
+def test_every_form_opens_its_line(monkeypatch, text, kind, item):
+    whole = f"intro\n{text}\nmore 12.5\n"
+    found = personal.find(whole)
+    assert (kind, item) in [(i.kind, i.text) for i in found]
+    monkeypatch.setattr(personal, "_places", _every_line)
+    assert personal.find(whole) == found
+
+
+@pytest.mark.parametrize("text", NOTHING + ["meet at noon. Then", "VALID IDs 12345678", "Square, A. is a matrix", "x = 12345678"])
+def test_no_more_without_keywords(monkeypatch, text):
+    assert personal.find(text) == []
+    monkeypatch.setattr(personal, "_places", _every_line)
+    assert personal.find(text) == []
+
+
 def test_beside_encoded_data():
     """What stands before or after encoded data on the same line is found, and nothing inside it."""
     rnd = random.Random(2)

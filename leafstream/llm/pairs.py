@@ -106,10 +106,22 @@ _SORRY = re.compile(
     r"متاسف|ببخشید|پوزش|به عنوان یک مدل|لطفا|please provide|let me know|\(policy\)|抱歉|извините|простите"
 )
 
+# What only the task is called, and how a speaker declines: enough at any place of an answer.
+_TRANSLATING = re.compile(r"translat|traduc|traduire|[uü]bersetz|перевод|перевест|翻译|ترجم|language model|مدل زبان")
+_I_DECLINE = re.compile(
+    r"\bi (?:really |simply |also )?(?:can'?t|cannot|can not|won'?t|am unable|am not able|(?:must|have to) (?:decline|refuse))|"
+    r"\bi'm (?:unable|not able|not permitted|not allowed)|"
+    r"نمی ?توان(?:م|یم)|معذورم|قادر نیستم|مجاز نیستم|خودداری می ?کنم|"
+    r"je ne (?:peux|puis|suis) pas|ich kann .{0,60}nicht|no (?:puedo|podemos)|не могу|لا استطیع|لا یمکننی|我(?:无法|不能)"
+)
+#: How far from each other, at most, the words for declining and for the task stand.
+_APART = 200
+
 # ---- ends and units ----------------------------------------------------------------------------------------
 
 _QUOTED = re.compile("“[^“”„]*”|«[^«»]*»|„[^„“”]*[“”]|‘[^‘’]{8,}’|\"[^\"\\n]*\"|—[^—\\n]*—")
 _STOP = re.compile("[.!?。！？؟۔…]+[»”\"'’)\\]]*")
+_SENTENCE = re.compile("[^.!?。！？؟۔…\n]*\\w[^.!?。！？؟۔…\n]*")
 _STOPPED = re.compile("[.!?。！？؟۔»”\"'’)\\]]\\s*$")
 _OPEN_END = re.compile("[…\\[(«“\\-،,:]\\s*$|\\.\\.\\.\\s*$")
 _NUMBER = re.compile(r"\d+")
@@ -134,6 +146,26 @@ def units(text: str) -> int:
     return total
 
 
+def _near(first: re.Pattern[str], second: re.Pattern[str], said: str) -> bool:
+    return any(second.search(said, max(0, m.start() - _APART), m.end() + _APART) for m in first.finditer(said))
+
+
+def declining(text: str) -> int | None:
+    """Where a text, outside its quotations, first says that it declines the task: in a sentence, or two in a row."""
+    if not _TASK.search(text.replace("\u200c", "").casefold().replace("ي", "ی")):
+        return None
+    plain = _QUOTED.sub(" ¤ ", text) if _QUOTES(text) else text
+    if not _letters(plain.replace("¤", "")):
+        plain = text
+    before = ""
+    for m in _SENTENCE.finditer(plain):
+        said = re.sub(r"\s+", " ", _plain(m.group().replace("\u200c", "")).replace("’", "'"))
+        if _near(_DECLINE, _TRANSLATING, f"{before} {said}") or _near(_I_DECLINE, _TASK, said):
+            return m.start()
+        before = said
+    return None
+
+
 def measure(source: str | None, answer: str | None) -> dict[str, object]:
     """The votes on one pair, by defect, and what the vote on its length needs."""
     source, raw = source or "", answer or ""
@@ -157,10 +189,14 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
         1 if letters * 50 < source_letters and letters < 2 else -1,
     ]
     if nothing:
-        votes |= {"refusal": [-1] * 4, "copied": [-1] * 3, "wrong_language": [-1] * 3, "truncated": [-1] * 3}
+        votes |= {"refusal": [-1] * 5, "copied": [-1] * 3, "wrong_language": [-1] * 3, "truncated": [-1] * 3}
         return {"votes": votes, "origin": origin, "ratio": None, "open": False}
 
-    # most answers name no task at their head, and need no closer look
+    # most answers name no task, and need no closer look; what declines where its source does renders it
+    refuses = declining(text)
+    if refuses is not None and declining(source) is not None:
+        refuses = None
+    # a short answer may decline in words too weak to count anywhere
     start = text[:480].replace("\u200c", "")
     task = _TASK.search(start.casefold().replace("ي", "ی"))
     declines = sorry = None
@@ -174,16 +210,21 @@ def measure(source: str | None, answer: str | None) -> dict[str, object]:
     numbers = _numbers(source)
     mine_numbers = set(_numbers(text))
     source_units, answer_units = units(source), units(text)
+    weakly = bool(declines and task)
+    found = refuses is not None
     votes["refusal"] = [
-        1 if declines and task else -1,
-        1 if task and (declines or sorry) else -1,
-        -1 if length > 420 or copied > 0.5 else 0 if length > 260 else 1 if task and (declines or sorry) else 0,
-        -1 if mine_numbers.intersection(numbers) or answer_units > 5 else 0,
+        1 if found or weakly else -1,
+        1 if found or task and (declines or sorry) else -1,
+        # where it declines: late is no evidence against it
+        -1 if not found and (not weakly or length > 420) else 1 if found and refuses < 240 else 0,
+        # how long it is: length tells only where nothing declines
+        (0 if found else -1) if length > 420 or copied > 0.5 else 0 if length > 260 else 1 if found or task and (declines or sorry) else 0,
+        -1 if not found and (mine_numbers.intersection(numbers) or answer_units > 5) else 0,
     ]
-    refused = votes["refusal"][:2] == [1, 1] and length <= 420 and copied <= 0.5
+    refused = found or weakly and length <= 420 and copied <= 0.5
 
     persian_source = origin == "fa"
-    own = [-1, -1, -1] if persian_source or refused else [
+    own = [-1, -1, -1] if persian_source or refused and copied <= 0.5 else [
         1 if copied >= 0.7 else -1 if copied <= 0.4 else 0,
         1 if min(of_answer, of_source) >= 0.5 else -1 if max(of_answer, of_source) <= 0.3 else 0,
         -1 if rendering else 1 if language == origin and language else 0,

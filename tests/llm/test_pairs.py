@@ -86,6 +86,40 @@ def test_sound_edges(spark):
     assert {i: found[i]["defect"] for i in range(1001, 1008)} == {r[0]: r[3] for r in rows if r[0] > 1000}
 
 
+def test_refusals_anywhere(spark):
+    """Answers that decline late, after an echo, in a long frame or at length; and sound ones that speak of declining."""
+    rnd = random.Random(4)
+    long = "Thank you for sending me this part of your book, which I have read with great interest from its beginning to its end. "
+    declines = [
+        "I'm sorry, but I can't help with translating this passage.", "Unfortunately I cannot fulfil this request.",
+        "متأسفم، اما نمی‌توانم این متن را ترجمه کنم.", "Je suis désolé, je ne peux pas traduire ce passage.",
+        "Leider kann ich diesen Text nicht übersetzen.", "Lo siento, no puedo traducir este fragmento.",
+    ]
+    rows, n = planted(n=400), 5000
+    for decline in declines:
+        source, answer = pair(rnd, 8)
+        for whole in (
+            long * 4 + decline, long * 20 + decline + " " + long, decline + " " + long * 5, f"“{source}”\n\n{decline}",
+            source[: len(source) // 3] + "\n\n" + decline, source + "\n\n" + decline, answer[: len(answer) // 2] + "\n" + decline, FRENCH * 6 + " " + decline,
+        ):
+            rows.append((n, source, whole, "refusal"))
+            n += 1
+    fa = "پس از ۲۰ ساعت، آنا قایق کهنه را پیدا کرد. "
+    sound = [
+        ("After 20 hours, Anna found the old boat. " * 9 + "He asked for leave. They gave none.", fa * 9 + "درخواست کرد که اجازه دهند. ندادند."),
+        ("After 20 hours, Anna found the old boat. " * 9 + "I cannot translate this letter, Anna wrote.", fa * 9 + "آنا نوشت نمی‌توانم این نامه را ترجمه کنم."),
+        ("After 20 hours, Anna found the old boat. " * 9 + "“I cannot translate it.”", fa * 9 + "«نمی‌توانم ترجمه‌اش کنم.»"),
+    ]
+    for source, answer in sound:
+        rows.append((n, source, answer, None))
+        n += 1
+    found = labels(spark, rows)
+    wrong = [(r, found[r[0]]["defect"]) for r in rows if r[0] >= 5000 and found[r[0]]["defect"] != r[3]]
+    assert not wrong, (len(wrong), wrong[:3])
+    sure = [r for r in rows if r[0] < 5000]
+    assert sum(found[r[0]]["defect"] != r[3] for r in sure) <= 0.02 * len(sure)
+
+
 def test_tables(spark):
     frame = spark.createDataFrame([], PARTS)
     assert pairs.defects_found(frame).count() == 0

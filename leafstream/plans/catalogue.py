@@ -327,6 +327,19 @@ def _(s, d):
         FROM part WHERE translation IS NULL OR translation NOT LIKE '%```%'""",
 )
 def _(s, d):
+    return _cleaned(R.parts(s, d, "translation").where(_UNFENCED))
+
+
+#: The SQL above and below has no fences, so these queries are told to leave them out; the next ones take every part.
+_UNFENCED = "translation IS NULL OR translation NOT LIKE '%```%'"
+
+
+@_query("cleaned_outputs_whole")
+def _(s, d):
+    return _cleaned(R.parts(s, d, "translation"))
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
     kind = F.col("part_id") % 4
     t = F.coalesce("translation", F.lit(""))
     wrapped = (
@@ -335,7 +348,6 @@ def _(s, d):
         .when(kind == 2, F.concat(F.lit("```text\n"), T.strip(t), F.lit("\n```")))
         .otherwise(t)
     )
-    rows = R.parts(s, d, "translation").where("translation IS NULL OR translation NOT LIKE '%```%'")
     return rows.select("part_id", F.md5(prompts.clean_output(wrapped)).alias("digest"))
 
 
@@ -345,6 +357,15 @@ def _(s, d):
             WHEN part_id % 5 = 3 THEN 'too_large' END AS kind FROM part WHERE translation IS NULL OR translation NOT LIKE '%```%'""",
 )
 def _(s, d):
+    return _served(R.parts(s, d, "translation").where(_UNFENCED))
+
+
+@_query("service_answers_whole")
+def _(s, d):
+    return _served(R.parts(s, d, "translation"))
+
+
+def _served(rows: DataFrame) -> DataFrame:
     kind = F.col("part_id") % 5
     good = lambda finish: F.to_json(
         F.struct(F.array(F.struct(F.struct(F.coalesce("translation", F.lit("")).alias("content")).alias("message"), F.lit(finish).alias("finish_reason"))).alias("choices"))
@@ -352,7 +373,6 @@ def _(s, d):
     raw = (
         F.when(kind == 1, '{"error": {"message": "too many requests"}}').when(kind == 2, "<html>").when(kind == 3, good("length")).otherwise(good("stop"))
     )
-    rows = R.parts(s, d, "translation").where("translation IS NULL OR translation NOT LIKE '%```%'")
     return rows.select("part_id", P.answer(raw)["kind"].alias("kind"))
 
 
@@ -618,7 +638,16 @@ def _(s, d):
 
 @_query("dispatched", "SELECT CAST(job_id AS VARCHAR) AS doc_id, seg_id, md5(regexp_replace(regexp_replace(translate(coalesce(txt, ''), 'يكى', 'یکی'), '^[" + _SPACE + r"]+', ''), '[" + _SPACE + r"]+\z', '')) AS digest FROM segment WHERE job_id IS NOT NULL AND regexp_matches(txt, '[\p{L}\p{Nl}\p{No}]') AND NOT contains(txt, '```')")
 def _(s, d):
-    rows = R.segments(s, d).where(T.is_translatable(F.col("text")) & ~F.contains("text", F.lit("```")) & F.col("job_id").isNotNull())
+    return _dispatched(R.segments(s, d).where(~F.contains("text", F.lit("```"))))
+
+
+@_query("dispatched_whole")
+def _(s, d):
+    return _dispatched(R.segments(s, d))
+
+
+def _dispatched(segments: DataFrame) -> DataFrame:
+    rows = segments.where(T.is_translatable(F.col("text")) & F.col("job_id").isNotNull())
     plan = chunking.assemble(chunking.make_chunks(rows.select("job_id", "seg_id", "text"), "job_id"), "job_id")
     services = [
         Provider("steady", concurrency=3),

@@ -70,12 +70,32 @@ def _grams(text: str) -> Counter[str]:
     return Counter(letters[i : i + size] for i in range(len(letters) - size + 1))
 
 
+#: What may stand around a returned source: a few words that say what it is, as their letters alone.
+_FRAME = re.compile(
+    r"(?:(?:sure|certainly|ofcourse)?(?:(?:here(?:is|s)|thisis)?(?:the|your|my)?(?:persian|farsi)?(?:translation|translatedtext|output|answer|result)(?:(?:into|to|in)(?:persian|farsi))?"
+    r"(?:ofthe(?:text|passage|source))?(?:is|follows)?|hereitis|hereyouare)"
+    r"|(?:hieristdie|die)?ubersetzung|(?:voicila|la)?traduction|(?:aquiestala|la)?traduccion|(?:اینهم|این)?ترجمه(?:متن|فارسی)?)?"
+)
+
+
+def _framed(answer: str, source: str) -> bool:
+    """Whether the source's letters stand whole in the answer, with nothing else but a known frame before or after them."""
+    own, whole = (_NO_LETTERS.sub("", _plain(t)) for t in (source, answer))
+    if not own or not any(c.isalpha() for c in own):
+        return False
+    if whole.startswith(own) and _FRAME.fullmatch(whole, len(own)):
+        return True
+    return len(whole) - len(own) < 200 and whole.endswith(own) and bool(_FRAME.fullmatch(whole, 0, len(whole) - len(own)))
+
+
 def _overlap(answer: str, source: str, mine: dict[str, int], theirs: dict[str, int]) -> tuple[float, float, float]:
     """What part of the answer is in the source, of the source in the answer, and the part that tells a copy.
-    Texts without a common script share nothing; very short ones only if they are the same."""
+    Texts without a common script share nothing; very short ones only if they are the same, or the source in a frame."""
     if not any(mine[k] and theirs[k] for k in mine) and any(theirs.values()):
         return 0.0, 0.0, 0.0
     a, b = _grams(_plain(answer)), _grams(_plain(source))
+    if _framed(answer, source):
+        return 1.0, 1.0, 1.0
     n, m = sum(a.values()), sum(b.values())
     shared = sum((a & b).values())
     of_answer, of_source = shared / max(1, n), shared / max(1, m)

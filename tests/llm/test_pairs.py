@@ -120,6 +120,20 @@ def test_refusals_anywhere(spark):
     assert sum(found[r[0]]["defect"] != r[3] for r in sure) <= 0.02 * len(sure)
 
 
+def test_short_sources_copied(spark):
+    """A short source returned in a frame is a copy; one that is a small part of a longer answer is not."""
+    rows = planted(n=300) + [
+        (6001, "Kapitel 24", "Translation: Kapitel 24", "copied"),
+        (6002, "Kapitel 24", "KAPITEL 24.", "copied"),
+        (6003, "The End", "Here is the translation:\n\nThe End", "copied"),
+        (6004, "Le jardin", "Le jardin (ترجمه)", "copied"),
+        (6005, "Chapter 7", "Translation: فصل ۷", None),
+        (6007, "Anna found the old boat.", "آنا قایق کهنه را پیدا کرد.", None),
+    ]
+    found = labels(spark, rows)
+    assert {r[0]: found[r[0]]["defect"] for r in rows if r[0] > 6000} == {r[0]: r[3] for r in rows if r[0] > 6000}
+
+
 def test_tables(spark):
     frame = spark.createDataFrame([], PARTS)
     assert pairs.defects_found(frame).count() == 0

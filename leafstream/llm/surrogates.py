@@ -281,14 +281,14 @@ def attempts(items: DataFrame, key: str = KEY, most: int = 8, syllables: int = 3
     """(pii_type, form, attempt) of the items whose first surrogate belongs to another item.
 
     All distinct items are compared by their surrogates; among those that share one, the smallest keeps it and
-    the others try again, until none is shared.
+    the others try again, until none is shared. If some still are after `most` rounds, an error is raised.
     """
     distinct = items.select("pii_type", "pii_text", F.lit(0).alias("attempt")).distinct()
     seen = settle(distinct.mapInArrow(_maker(key, syllables), _MADE), "forms")
     # one way of writing stands for each form
     forms = seen.groupBy("pii_type", "form").agg(F.min(F.struct("pii_text", "made", "attempt")).alias("s"))
     current = forms.select("pii_type", "form", "s.pii_text", "s.made", "s.attempt")
-    for _ in range(most):
+    for tried in range(most + 1):
         current = settle(current, "attempts")
         order = Window.partitionBy("pii_type", "made").orderBy("attempt", "form")
         shared = current.groupBy("pii_type", "made").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -297,6 +297,8 @@ def attempts(items: DataFrame, key: str = KEY, most: int = 8, syllables: int = 3
         anew = settle(again.mapInArrow(_maker(key, syllables), _MADE), "again")
         if anew.isEmpty():
             break
+        if tried == most:
+            raise RuntimeError(f"{anew.count()} items still share their surrogates after {most} rounds")
         kept = current.join(anew.select("pii_type", "form"), ["pii_type", "form"], "left_anti")
         current = kept.unionByName(anew.select("pii_type", "form", "pii_text", "made", "attempt"))
     return current.where("attempt > 0").select("pii_type", "form", "attempt")

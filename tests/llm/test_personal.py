@@ -193,6 +193,13 @@ def test_collisions_are_resolved(spark):
     assert tried and len(set(made)) == len(items)
 
 
+def test_collisions_that_remain_are_told(spark):
+    items = [("name", f"Anna {c}{d}{e}berg") for c in "BCDFGHKLM" for d in "aeiou" for e in "lmn"]
+    frame = spark.createDataFrame(items, "pii_type string, pii_text string")
+    with pytest.raises(RuntimeError, match="still share"):
+        surrogates.attempts(frame, most=1, syllables=1)
+
+
 def test_pseudonymized(spark):
     texts = [t for t, _, _ in CASES]
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "nothing")]

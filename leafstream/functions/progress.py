@@ -1,4 +1,4 @@
-"""Progress figures as column expressions."""
+"""Progress figures as column expressions, and the speed of a run that goes on."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def eta_seconds(total_chars: Column, done_chars: Column, speed: Column) -> Colum
     """Whole seconds left at a speed in characters a second; null without one."""
     left = F.greatest(total_chars - done_chars, F.lit(0))
     return F.when(speed > 0, F.floor(left / speed).cast("long"))
+
+
+def rate(points: list[tuple[float, int]], now: float, span: float = 300.0) -> float | None:
+    """Characters a second from the points (time, characters so far) of the last `span` seconds, if these are three or
+    more, else from all; None without any gain."""
+    near = [p for p in points if p[0] >= now - span]
+    (since, before), (last, after) = (near if len(near) >= 3 else points)[0], points[-1]
+    gain, seconds = after - before, max(now, last) - since
+    return gain / seconds if len(points) > 1 and gain > 0 and seconds > 0 else None

@@ -1,6 +1,6 @@
 """Prompts and answers: segments behind numbered markers, and back.
 
-The wording of system prompts is configuration that a run supplies; nothing here depends on it.
+A run may bring system prompts of its own; nothing here depends on their wording.
 """
 
 from __future__ import annotations
@@ -14,6 +14,28 @@ from leafstream.functions.text import SPACE, strip
 MARKER = rf"(?md)^[ \t]*<<<[{SPACE}]*(\p{{Nd}}+)[{SPACE}]*>>>[ \t]*$"
 _DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩０１２３４５６７８９", "0123456789" * 3)
 
+#: System prompts by mode, for runs that bring none.
+BASE = {
+    "translate": (
+        "You render texts into Persian. Give the whole of each text in clear, natural Persian of the same tone, leaving "
+        "nothing out and adding nothing. Keep numbers, names, links, code and line breaks. Texts may stand under lines such "
+        "as <<<1>>>: repeat each such line as it is, in the same order, with its text's rendering below it. Answer with "
+        "nothing but the rendering."
+    ),
+    "refine": (
+        "You polish Persian texts that were translated. Mend grammar, wording, spelling and half-spaces so that they read as "
+        "if written in Persian, and keep the sense, the order and the line breaks. Texts may stand under lines such as "
+        "<<<1>>>: repeat each such line as it is, in the same order, with its polished text below it. Answer with nothing "
+        "but the texts."
+    ),
+}
+EXTRA = "\n\nThe user also asks for this:\n"
+
+
+def instructed(base: str, extra: str) -> str:
+    """A base prompt with the user's own instructions, if there are any."""
+    return base + EXTRA + extra.strip() if extra.strip() else base
+
 
 def user_prompt(texts: Column) -> Column:
     """One text as it is; several each under its marker, numbered from 1. Null elements count as empty."""
@@ -27,8 +49,7 @@ def user_prompt(texts: Column) -> Column:
 def system_prompt(base: Column, extra: Column) -> Column:
     """The base prompt, followed by the user's own instructions if there are any."""
     extra = strip(F.coalesce(extra, F.lit("")))
-    heading = "\n\nAdditional instructions from the user:\n"
-    return F.when(extra == "", base).otherwise(F.concat(base, F.lit(heading), extra))
+    return F.when(extra == "", base).otherwise(F.concat(base, F.lit(EXTRA), extra))
 
 
 def parse_response(answer: Column, expected: Column) -> Column:

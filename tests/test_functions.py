@@ -105,10 +105,9 @@ def test_urls(spark):
     ],
 )
 def test_error_kinds(spark, status, body, kind):
-    from leafstream.operators.services import kind_of
 
     assert one(spark, P.error_kind(F.col("s"), F.col("b")), s=status, b=body) == kind
-    assert kind_of(status, body) == kind
+    assert P.kind_by_rules(P.HTTP_RULES, body, status) == kind
 
 
 def test_pauses(spark):

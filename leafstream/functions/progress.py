@@ -21,7 +21,15 @@ def eta_seconds(total_chars: Column, done_chars: Column, speed: Column) -> Colum
 def rate(points: list[tuple[float, int]], now: float, span: float = 300.0) -> float | None:
     """Characters a second from the points (time, characters so far) of the last `span` seconds, if these are three or
     more, else from all; None without any gain."""
+    if len(points) < 2:
+        return None
     near = [p for p in points if p[0] >= now - span]
     (since, before), (last, after) = (near if len(near) >= 3 else points)[0], points[-1]
     gain, seconds = after - before, max(now, last) - since
-    return gain / seconds if len(points) > 1 and gain > 0 and seconds > 0 else None
+    return gain / seconds if gain > 0 and seconds > 0 else None
+
+
+def words(seconds: float) -> str:
+    """``functions.text.duration`` for a single number."""
+    s = max(0, int(seconds))
+    return f"{s // 3600}h {s % 3600 // 60}m" if s >= 3600 else f"{s // 60}m {s % 60}s" if s >= 60 else f"{s}s"

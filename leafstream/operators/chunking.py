@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafstream.sources.shared import settle
+
 #: Characters that each segment takes besides its own, for its marker.
 OVERHEAD = 12
 #: Segments of a block; also the span of segment numbers that share one.
@@ -130,13 +132,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], []]
 
     def flush() -> pa.RecordBatch:
-        arrays = [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
+        arrays = [pa.array(column, pa.int64() if at else pa.string()) for at, column in enumerate(out)]
         for column in out:
             column.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=["_key", "_order", "chunk_no"])
+        return pa.RecordBatch.from_arrays(arrays, names=["_key", "_order", "n_chars", "chunk_no"])
 
     for (key, _), columns in _groups(batches, 2):
         size, chunks = columns[5][0], columns[6][0]
@@ -147,33 +149,36 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += place in begin
             out[0].append(key)
             out[1].append(order)
-            out[2].append(number)
+            out[2].append(columns[3][place])
+            out[3].append(number)
         if len(out[0]) >= 10_000:
             yield flush()
     if out[0]:
         yield flush()
 
 
-def make_chunks(
-    segments: DataFrame, key: str = "doc_id", order: str = "seg_id", text: str = "text", limit: str | int = 2500, block: int = BLOCK
+def plan_chunks(
+    segments: DataFrame, key: str = "doc_id", order: str = "seg_id", length: str = "n_chars", limit: str | int = 2500, block: int = BLOCK
 ) -> DataFrame:
-    """`segments` with `n_chars` and `chunk_no`, which counts from 0 in each document.
+    """(key, order, n_chars, chunk_no): the chunks of segments of known length, counted from 0 in each document.
 
     Consecutive segments share a chunk as long as their lengths, with OVERHEAD for each, stay within `limit` (a
     number, or the column that holds each document's). A segment over the limit is a chunk by itself. Segments
-    left out before don't part their neighbours. Rows with a null key or order are left out, a null text counts
-    as empty; the order must be unique within a document.
+    left out before don't part their neighbours. Rows with a null key or order are left out, a null length counts
+    as 0; the order must be unique within a document.
     """
     limit_column = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    rows = segments.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn(
-        "n_chars", F.coalesce(F.length(text), F.lit(0))
-    )
-    lengths = rows.select(
-        F.col(key).cast("string").alias("_key"),
-        F.floor(F.col(order) / block).cast("long").alias("_block"),
-        F.col(order).cast("long").alias("_order"),
-        F.col("n_chars").cast("long").alias("_n"),
-        limit_column.cast("long").alias("_limit"),
+    rows = segments.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    # read several times below: a narrow table, written once
+    lengths = settle(
+        rows.select(
+            F.col(key).cast("string").alias("_key"),
+            F.floor(F.col(order) / block).cast("long").alias("_block"),
+            F.col(order).cast("long").alias("_order"),
+            F.coalesce(F.col(length), F.lit(0)).cast("long").alias("_n"),
+            limit_column.cast("long").alias("_limit"),
+        ),
+        "lengths",
     )
     by_block = lambda df: df.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_order")
     long = lengths.groupBy("_key").agg(F.min("_block").alias("a"), F.max("_block").alias("b")).where("a <> b").select("_key")
@@ -189,13 +194,22 @@ def make_chunks(
     begun = lengths.join(entries, ["_key", "_block"], "left").select(
         "_key", "_block", "_order", "_n", "_limit", F.coalesce("_size", F.lit(0)).alias("_size"), F.coalesce("_chunks", F.lit(0)).alias("_chunks")
     )
-    packed = by_block(begun).mapInArrow(_packed, "_key string, _order long, chunk_no long")
-    named = packed.select(
+    packed = by_block(begun).mapInArrow(_packed, "_key string, _order long, n_chars long, chunk_no long")
+    return packed.select(
         F.col("_key").cast(segments.schema[key].dataType).alias(key),
         F.col("_order").cast(segments.schema[order].dataType).alias(order),
+        F.col("n_chars").cast("int").alias("n_chars"),
         F.col("chunk_no").cast("int").alias("chunk_no"),
     )
-    return rows.join(named, [key, order])
+
+
+def make_chunks(
+    segments: DataFrame, key: str = "doc_id", order: str = "seg_id", text: str = "text", limit: str | int = 2500, block: int = BLOCK
+) -> DataFrame:
+    """`segments` with the `n_chars` and `chunk_no` of :func:`plan_chunks`; a null text counts as empty."""
+    own = [key, order, *([limit] if isinstance(limit, str) else [])]
+    plan = plan_chunks(segments.select(*own, F.length(text).alias("n_chars")), key, order, "n_chars", limit, block)
+    return segments.join(plan, [key, order])
 
 
 def assemble(planned: DataFrame, key: str = "doc_id", order: str = "seg_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafstream.functions.providers import chat_url, key_label, mode_role, parse_roles, split_keys
+from leafstream.functions.providers import chat_url, key_label, mode_role, parse_roles, parse_roles_text, role_label, split_keys
 from leafstream.functions.text import strip
 
 COLUMNS = ["name", "base_url", "api_key", "model", "concurrency", "enabled", "extra_headers", "use_for"]
@@ -16,8 +16,10 @@ def configured(raw: DataFrame) -> DataFrame:
     extra_headers, roles, problem).
 
     A null or blank name is "provider", concurrency is at least 1, a null `enabled` is true, and no roles are both.
+    Roles may be an array of names or a text of them.
     `problem` says why a provider can't be used: no URL, no model, or a name that another one has.
     """
+    roles = parse_roles_text if raw.schema["use_for"].dataType.typeName() == "string" else parse_roles
     trimmed = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     name = F.when(trimmed("name") == "", "provider").otherwise(trimmed("name"))
     rows = raw.select(
@@ -28,7 +30,7 @@ def configured(raw: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.coalesce("concurrency", F.lit(1))).alias("concurrency"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         F.coalesce("extra_headers", F.create_map().cast("map<string,string>")).alias("extra_headers"),
-        parse_roles(F.col("use_for")).alias("roles"),
+        roles(F.col("use_for")).alias("roles"),
     )
     named = F.count(F.lit(1)).over(Window.partitionBy("name"))
     problem = (
@@ -46,7 +48,7 @@ def skipped(providers: DataFrame, mode: Column) -> DataFrame:
     """(name, note) of the enabled providers that a mode has no use for."""
     role = mode_role(mode)
     rest = providers.where("enabled AND problem IS NULL").where(~F.array_contains("roles", role))
-    note = F.concat(F.col("name"), F.lit(": only for "), F.array_join("roles", ", "))
+    note = F.concat(F.col("name"), F.lit(": for "), role_label(F.col("roles")))
     return rest.select("name", note.alias("note"))
 
 

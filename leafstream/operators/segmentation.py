@@ -38,92 +38,142 @@ def split_long(text: Column, most: int) -> Column:
 
 
 def _pieces(text: Column, most: int) -> Column:
+    """First the places where pieces begin, from lengths alone; then each piece as a slice of the units."""
     lined = F.contains(text, F.lit("\n"))
     units = F.when(lined, F.split(text, "\n", -1)).otherwise(F.split(text, _SENTENCE_END, -1))
-    state = lambda pieces, current, joint: F.struct(pieces.alias("pieces"), current.alias("current"), joint.alias("joint"))
+    joint = F.when(lined, F.lit("\n")).otherwise(F.lit(" "))
+    return let(F.struct(units.alias("units"), joint.alias("joint")), lambda x: _joined(x["units"], x["joint"], most))
 
-    def add(a: Column, u: Column) -> Column:
-        full = (a["current"] != "") & (F.length(a["current"]) + F.length(u) + 1 > most)
-        longer = F.when(a["current"] == "", u).otherwise(F.concat(a["current"], a["joint"], u))
-        more = state(F.array_append(a["pieces"], a["current"]), u, a["joint"])
-        return F.when(full, more).otherwise(state(a["pieces"], longer, a["joint"]))
 
-    start = state(F.array().cast("array<string>"), F.lit(""), F.when(lined, F.lit("\n")).otherwise(F.lit(" ")))
-    last = lambda a: F.when(a["current"] == "", a["pieces"]).otherwise(F.array_append(a["pieces"], a["current"]))
-    return F.aggregate(units, start, add, last)
+def _joined(units: Column, joint: Column, most: int) -> Column:
+    state = lambda at, size, begins: F.struct(at.alias("at"), size.alias("size"), begins.alias("begins"))
 
+    def add(a: Column, n: Column) -> Column:
+        # blank units at a piece's beginning are left out of it
+        begin = (a["size"] == 0) | (a["size"] + n + 1 > most)
+        begins = F.when(begin & (n > 0), F.array_append(a["begins"], a["at"])).otherwise(a["begins"])
+        # a piece that ends at a blank unit is closed there
+        ended = F.when(begin & (n == 0) & (a["size"] > 0), F.array_append(begins, -a["at"] - 1)).otherwise(begins)
+        return state(a["at"] + 1, F.when(begin, n).otherwise(a["size"] + n + 1), ended)
 
-def text_items(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = PARAGRAPH) -> DataFrame:
-    """The layout of plain texts: (key, item_no, kind, raw, lead, trail, joiner, pieces).
+    lengths = F.transform(units, F.length)
+    begins = F.aggregate(lengths, state(F.lit(0), F.lit(0), F.array().cast("array<int>")), add, lambda a: F.array_append(a["begins"], a["at"]))
 
-    Paragraphs and the blank lines between them alternate. A `seg` item is a paragraph with something to render,
-    in pieces; a `raw` item stays as it is. All items together are the text with its line ends made line feeds.
-    Null texts have no items.
-    """
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, newlines(F.col(text)).alias("_text"))
-    parts = F.split("_text", _BLANK_LINE, -1)
-    gaps = F.regexp_extract_all("_text", F.lit(f"({_BLANK_LINE})"), 1)
-    both = rows.select(key, F.posexplode(F.arrays_zip(parts.alias("part"), gaps.alias("gap"))).alias("_no", "_at"))
-    alternating = F.filter(
-        F.array(
-            F.struct((F.col("_no") * 2).alias("item_no"), F.col("_at.part").alias("raw"), F.lit(True).alias("text")),
-            F.struct((F.col("_no") * 2 + 1).alias("item_no"), F.col("_at.gap").alias("raw"), F.lit(False).alias("text")),
-        ),
-        lambda x: x["raw"].isNotNull(),
-    )
-    items = both.select(key, F.explode(alternating).alias("i")).select(key, "i.*")
-    # each of these is computed once a row, however many columns take from it
-    judged = items.select(key, "item_no", "raw", (F.col("text") & is_translatable(F.col("raw"))).alias("_seg"))
-    bodies = judged.withColumn("_body", F.when(F.col("_seg"), strip(F.col("raw"))))
-    lead = F.when(F.col("_seg"), leading(F.col("raw")))
-    measured = bodies.withColumn("lead", lead).withColumn("_lined", F.contains("_body", F.lit("\n")))
-    after = F.length("lead") + F.length("_body") + 1
-    return measured.select(
-        key,
-        "item_no",
-        F.when(F.col("_seg"), "seg").otherwise("raw").alias("kind"),
-        "raw",
-        "lead",
-        F.when(F.col("_seg"), F.substring("raw", after, F.length("raw"))).alias("trail"),
-        F.when(F.col("_lined"), "\n").when(F.col("_seg"), " ").alias("joiner"),
-        F.when(F.length("_body") <= most, F.array("_body")).when(F.col("_seg"), split_long(F.col("_body"), most)).alias("pieces"),
-    )
+    def cut(places: Column) -> Column:
+        spans = F.transform(F.slice(places, 1, F.size(places) - 1), lambda p, i: F.struct(p.alias("a"), F.get(places, i + 1).alias("b")))
+        end = lambda p: F.when(p < 0, -p - 1).otherwise(p)
+        piece = lambda x: F.call_function("array_join", F.slice(units, x["a"] + 1, end(x["b"]) - x["a"]), joint)
+        return F.transform(F.filter(spans, lambda x: x["a"] >= 0), piece)
+
+    return let(begins, cut)
+
+
+# ---- layouts: what stays, and what is rendered -----------------------------------------------------------------
+
+
+def _token(text: Column, rendered: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(rendered).alias("seg"))
+
+
+def _layout(tokens: Column) -> Column:
+    """struct(glue, pieces): the texts to be rendered, and what stands before each and after the last. Joined in turn,
+    they are the text again."""
+
+    def made(t: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i)["seg"])
+        places = F.when(F.size(t) > 0, places).otherwise(F.array().cast("array<int>"))
+        return let(places, lambda at: parts(t, at))
+
+    def parts(t: Column, at: Column) -> Column:
+        texts = lambda start, n: F.array_join(F.transform(F.slice(t, start + 1, n), lambda x: x["text"]), "")
+
+        def between(k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(F.get(at, k - 1) + 1)
+            return texts(start, F.coalesce(F.get(at, k), F.size(t)) - start)
+
+        glue = F.transform(F.sequence(F.lit(0), F.size(at)), between)
+        return F.struct(glue.alias("glue"), F.transform(at, lambda i: F.get(t, i)["text"]).alias("pieces"))
+
+    return let(tokens, made)
+
+
+def paragraphs(text: Column) -> Column:
+    """array<struct<raw, seg>>: the paragraphs of a text and the blank lines between them in turn; `seg` says that
+    there is something to render."""
+    both = F.arrays_zip(F.split(text, _BLANK_LINE, -1).alias("part"), F.regexp_extract_all(text, F.lit(f"({_BLANK_LINE})"), 1).alias("gap"))
+    item = lambda raw, seg: F.struct(raw.alias("raw"), seg.alias("seg"))
+    pair = lambda x: F.array(item(x["part"], is_translatable(x["part"])), item(F.coalesce(x["gap"], F.lit("")), F.lit(False)))
+    return F.flatten(F.transform(both, pair))
 
 
-def numbered(items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, item_no, piece_no, seg_id, text): the pieces of `seg` items, numbered through each document.
+def text_layout(text: Column, most: int = PARAGRAPH) -> Column:
+    """The layout of a plain text, as struct(glue, pieces), its line ends made line feeds; null for a null.
 
-    The numbers come from each item's place among the items of its own document, which one row held before.
+    A paragraph with something to render is a piece, or several if it is long; all else stays as it is.
     """
-    from pyspark.sql import Window
 
-    sized = items.where("kind = 'seg'").withColumn("_n", F.size("pieces"))
-    before = Window.partitionBy(key).orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
-    first = sized.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = first.select(key, "item_no", "_first", F.posexplode("pieces").alias("piece_no", "text"))
-    return rows.select(key, "item_no", "piece_no", (F.col("_first") + F.col("piece_no")).cast("int").alias("seg_id"), "text")
+    def tokens(p: Column) -> Column:
+        return F.when(p["seg"], let(strip(p["raw"]), lambda body: cut(p["raw"], body))).otherwise(F.array(_token(p["raw"], False)))
+
+    def cut(raw: Column, body: Column) -> Column:
+        joint = F.when(F.contains(body, F.lit("\n")), F.lit("\n")).otherwise(F.lit(" "))
+        each = F.transform(
+            split_long(body, most), lambda x, i: F.when(i == 0, F.array(_token(x, True))).otherwise(F.array(_token(joint, False), _token(x, True)))
+        )
+        lead = F.length(leading(raw))
+        after = F.substring(raw, lead + F.length(body) + 1, F.length(raw))
+        return F.concat(F.array(_token(F.left(raw, lead), False)), F.flatten(each), F.array(_token(after, False)))
+
+    return F.when(text.isNotNull(), _layout(F.flatten(F.transform(paragraphs(newlines(text)), tokens))))
+
+
+def text_layouts(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = PARAGRAPH) -> DataFrame:
+    """(key, layout): the layouts of plain texts. Rows with a null key or text are left out."""
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return rows.select(key, text_layout(F.col(text), most).alias("layout"))
+
+
+def segments_of(layouts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, seg_id, text): the pieces of layouts, numbered in their order, which moves nothing."""
+    return layouts.select(key, F.posexplode("layout.pieces").alias("seg_id", "text"))
+
+
+def cues_of(text: Column) -> Column:
+    """array<struct<header, body>>: the blocks of a subtitle file. The header ends with the first line that has a
+    timecode; a block without one is all header, with a null body. Right-to-left marks in a body are dropped."""
+
+    def block(lines: Column) -> Column:
+        timed = F.array_min(F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(_TIMECODE)), i)))
+        return let(F.coalesce(timed, F.lit(-1)), lambda at: cut(lines, at))
+
+    def cut(lines: Column, at: Column) -> Column:
+        body = F.replace(F.array_join(F.slice(lines, at + 2, F.size(lines)), "\n"), F.lit(RTL_MARK), F.lit(""))
+        head = F.when(at < 0, lines).otherwise(F.slice(lines, F.lit(1), at + 1))
+        return F.struct(head.alias("header"), F.when(at >= 0, body).alias("body"))
+
+    plain = F.regexp_replace(newlines(text), r"^\n+|\n+\z", "")
+    return F.transform(F.split(plain, _BLANK_LINE, -1), lambda b: let(F.split(b, "\n", -1), block))
 
 
 def subtitle_cues(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The layout of subtitles: (key, cue_no, header, body, translatable), a row for each block between blank lines.
+    """(key, cue_no, header, body, translatable): a row for each block of subtitles between blank lines."""
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    cues = rows.select(key, F.posexplode(cues_of(F.col(text))).alias("cue_no", "_c"))
+    return cues.select(key, "cue_no", "_c.header", "_c.body", is_translatable(F.col("_c.body")).alias("translatable"))
+
+
+def subtitle_layouts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, layout): subtitles as layouts, whose pieces are the bodies with something to render, each with the line
+    end before it left out of the glue (see ``layouts.build_subtitles``)."""
+
+    def tokens(c: Column, i: Column) -> Column:
+        head = F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit("\n\n")), F.array_join(c["header"], "\n"))
+        rest = F.when(F.coalesce(c["body"], F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("\n"), c["body"]))
+        return F.when(is_translatable(c["body"]), F.array(_token(head, False), _token(c["body"], True))).otherwise(F.array(_token(F.concat(head, rest), False)))
 
-    The header ends with the first line that has a timecode; a block without one is all header, with a null body.
-    Right-to-left marks in a body are dropped.
-    """
-    plain = F.regexp_replace(newlines(F.col(text)), r"^\n+|\n+\z", "")
-    blocks = F.split(plain, _BLANK_LINE, -1)
     rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    cues = rows.select(key, F.posexplode(blocks).alias("cue_no", "_block")).withColumn("_lines", F.split("_block", "\n", -1))
-    timed = F.transform("_lines", lambda line, i: F.when(F.rlike(line, F.lit(_TIMECODE)), i))
-    at = F.array_min(timed)
-    size = F.size("_lines")
-    body = F.replace(F.array_join(F.slice("_lines", at + 2, size), "\n"), F.lit(RTL_MARK), F.lit(""))
-    return cues.select(
-        key,
-        "cue_no",
-        F.when(at.isNull(), F.col("_lines")).otherwise(F.slice("_lines", F.lit(1), at + 1)).alias("header"),
-        F.when(at.isNotNull(), body).alias("body"),
-    ).withColumn("translatable", is_translatable(F.col("body")))
+    every = F.flatten(F.transform(cues_of(F.col(text)), tokens))
+    return rows.select(key, _layout(F.concat(every, F.array(_token(F.lit("\n"), False)))).alias("layout"))
 
 
 def page_paragraphs(text: Column) -> Column:

@@ -28,6 +28,14 @@ def segments(spark: SparkSession, directory: str) -> DataFrame:
     ).select("chunk_id", "job_id", "file_hash", "chunk_no", "text_no", F.col("_s.seg_ids").alias("seg_id"), F.col("_s.texts").alias("text"))
 
 
+def lengths(spark: SparkSession, directory: str) -> DataFrame:
+    """(job_id, seg_id, n_chars): the segments of all chunks by their lengths, which are taken before anything moves."""
+    sized = table(spark, directory, "chunks").withColumn("n", F.transform("texts", F.length))
+    once = deduplicated(sized.select("chunk_id", "job_id", "seg_ids", "n", "attempts", "queued_at"), "chunk_id", "attempts", "queued_at")
+    rows = once.select("job_id", F.explode(F.arrays_zip("seg_ids", "n")).alias("_s"))
+    return rows.select("job_id", F.col("_s.seg_ids").alias("seg_id"), F.col("_s.n").alias("n_chars"))
+
+
 def parts(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
     """Each finished part once, as logged last; only the columns named are read."""
     wanted = ["part_id", *columns] + [c for c in ("logged_at",) if c not in columns]

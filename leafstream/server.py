@@ -1,6 +1,7 @@
 """Jobs over HTTP: start one with a text or a file, watch it, add services, stop it, fetch what came out.
 
-    GET  /api/jobs/ID              state and counts
+    GET  /                         a page to do the same by hand
+    GET  /api/jobs/ID              state, counts, speed, time left, services, last parts
     GET  /api/jobs/ID/text         the result, if it is text
     GET  /api/jobs/ID/download     the result
     POST /api/jobs                 {text | filename, file_b64; providers, mode, chunk_chars, ...}
@@ -9,7 +10,9 @@
     POST /api/test-provider        {provider}
     POST /api/models               {provider}
 
-With LEAFSTREAM_PASSWORD set, requests need it in the header X-Password.
+Settings of the environment: LEAFSTREAM_PASSWORD, which requests then need in the header X-Password;
+LEAFSTREAM_HOST and LEAFSTREAM_PORT; LEAFSTREAM_DATA, a folder that keeps finished segments between runs.
+``python -m leafstream.server`` serves.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hmac
 import json
 import os
+import re
 import threading
 import uuid
 from collections.abc import Callable
@@ -25,6 +29,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from leafstream.functions import progress as figures
+from leafstream.functions import prompts
 from leafstream.functions import providers as P
 from leafstream.job import Job
 from leafstream.operators import services
@@ -51,7 +57,7 @@ def for_mode(entries: list[dict], mode: str) -> list[Provider]:
 
     def has_role(entry: dict) -> bool:
         told = entry.get("use_for", entry.get("roles"))
-        words = told.replace(",", " ").split() if isinstance(told, str) else list(told or [])
+        words = re.split(r"[,;/+\s]+", told) if isinstance(told, str) else list(told or [])
         named = {P.ROLE_NAMES.get(str(w).strip().lower()) for w in words} - {None}
         return not named or "both" in named or role in named
 
@@ -105,7 +111,7 @@ class Jobs:
             new, self.added[number] = self.added[number], []
             return new
 
-        job = Job(files, providers, self.call, settings, self.checkpoint, more_providers=more, log=self.lines[number].append)
+        job = Job(files, providers, self.call, settings, self.checkpoint, more_providers=more, log=self.lines[number].append, watched=True)
         self.jobs[number] = job
         self.threads[number] = threading.Thread(target=self._run, args=(number, job), daemon=True)
         self.threads[number].start()
@@ -116,15 +122,65 @@ class Jobs:
             row = job.run().first()
             if row:
                 self.results[number] = row["output"], bytes(row["content"])
+            elif problem := job.problems().first():
+                raise ValueError(problem["problem"])
+            job.close()
         except Exception as e:  # noqa: BLE001
-            job.state = "error"
-            self.lines[number].append(f"{type(e).__name__}: {e}"[:500])
+            job.state, job.error = "error", f"{type(e).__name__}: {e}"[:500]
+            self.lines[number].append(job.error)
 
     def state(self, number: str, since: int = 0) -> dict:
-        job = self.jobs[number]
-        told = job.progress() if job.state != "running" else {"status": "running"}
-        lines = self.lines[number]
-        return told | {"log": lines[since:][-1500:], "log_size": len(lines), "output": self.results.get(number, (None,))[0]}
+        """A job's figures at this moment; those that take time are the waves' own, so that asking costs nothing."""
+        told, lines = self.jobs[number].progress(), self.lines[number]
+        left = told.get("eta_seconds")
+        return told | {
+            "left": None if left is None else figures.words(left),
+            "log": lines[since:][-1500:],
+            "log_size": len(lines),
+            "output": self.results.get(number, (None,))[0],
+        }
+
+
+PAGE = """<!doctype html><meta charset="utf-8"><title>leafstream</title>
+<style>body{font-family:sans-serif;max-width:50em;margin:2em auto}textarea{width:100%}pre{white-space:pre-wrap}</style>
+<h1>leafstream</h1>
+<p>Services (JSON list)<br><textarea id="services" rows="5">[{"name": "a", "base_url": "https://", "api_key": "", "model": ""}]</textarea>
+<p>Text<br><textarea id="text" rows="8"></textarea><p>or a file <input type="file" id="file">
+<p><select id="mode"><option>translate<option>refine</select> password <input id="password" type="password">
+<button id="start">Start</button> <button id="add">Add services</button> <button id="stop">Stop</button> <a id="out"></a>
+<p><progress id="bar" max="100" value="0"></progress> <span id="told"></span><pre id="log"></pre>
+<script>
+let job = null, since = 0;
+const at = id => document.getElementById(id);
+async function ask(path, body) {
+  const r = await fetch(path, {method: body ? "POST" : "GET", body: body && JSON.stringify(body), headers: {"X-Password": at("password").value}});
+  const told = await r.json();
+  if (told.error) at("told").textContent = told.error;
+  return told;
+}
+const services = () => JSON.parse(at("services").value);
+at("start").onclick = async () => {
+  const body = {providers: services(), mode: at("mode").value, text: at("text").value}, file = at("file").files[0];
+  if (file) {
+    body.filename = file.name;
+    body.file_b64 = await new Promise(done => { const r = new FileReader(); r.onload = () => done(r.result.split(",")[1]); r.readAsDataURL(file); });
+  }
+  job = (await ask("/api/jobs", body)).id; since = 0; at("log").textContent = "";
+};
+at("add").onclick = () => ask(`/api/jobs/${job}/providers`, {providers: services()});
+at("stop").onclick = () => ask(`/api/jobs/${job}/cancel`, {});
+setInterval(async () => {
+  if (!job) return;
+  const t = await ask(`/api/jobs/${job}?since=${since}`);
+  at("bar").value = t.percent; since = t.log_size;
+  at("told").textContent = `${t.status} ${t.percent} % ${t.left ? t.left + " left" : ""} ${t.reason || ""}`;
+  at("log").textContent += t.log.map(l => l + "\n").join("");
+  if (t.output && !at("out").textContent) {
+    const r = await fetch(`/api/jobs/${job}/download`, {headers: {"X-Password": at("password").value}});
+    at("out").href = URL.createObjectURL(await r.blob()); at("out").download = at("out").textContent = t.output;
+  }
+}, 2000);
+</script>"""
 
 
 def handler(jobs: Jobs, password: str = "") -> type[BaseHTTPRequestHandler]:
@@ -157,6 +213,8 @@ def handler(jobs: Jobs, password: str = "") -> type[BaseHTTPRequestHandler]:
 
         def do_GET(self) -> None:
             path, _, query = self.path.partition("?")
+            if path == "/":
+                return self._send(200, PAGE.encode(), "text/html; charset=utf-8")
             parts = path.strip("/").split("/")
 
             def act() -> dict | None:
@@ -215,3 +273,41 @@ def _quoted(name: str) -> str:
 def serve(spark: SparkSession, call: Call, host: str = "127.0.0.1", port: int = 8000, checkpoint: str | None = None) -> ThreadingHTTPServer:
     """A server, not yet running; ``serve_forever()`` runs it."""
     return ThreadingHTTPServer((host, port), handler(Jobs(spark, call, checkpoint), os.environ.get("LEAFSTREAM_PASSWORD", "")))
+
+
+class ByMode:
+    """Calls with the built-in prompt of each run's mode."""
+
+    def __call__(self, service: dict, key: str, prompt: str, settings: Settings) -> str:
+        return services.HttpCall(prompts.BASE[settings.mode])(service, key, prompt, settings)
+
+
+def from_environment(spark: SparkSession) -> ThreadingHTTPServer:
+    """A server as the environment says; the next free port where the one named is taken."""
+    env = os.environ.get
+    host, port = env("LEAFSTREAM_HOST", "127.0.0.1"), int(env("LEAFSTREAM_PORT", "8000"))
+    for candidate in range(port, port + 50):
+        try:
+            return serve(spark, ByMode(), host, candidate, env("LEAFSTREAM_DATA"))
+        except OSError:
+            continue
+    raise OSError(f"no free port from {port} on")
+
+
+def self_test(spark: SparkSession) -> str:
+    """A small job with a stand-in for a service: what comes out of it."""
+    jobs = Jobs(spark, services.Echo())
+    number = jobs.start({"text": "One text.\n\nAnother text.", "providers": [{"name": "a", "url": "http://none", "model": "m"}]})
+    jobs.threads[number].join()
+    return jobs.results[number][1].decode() if number in jobs.results else jobs.jobs[number].error
+
+
+def main() -> None:
+    spark = SparkSession.builder.appName("leafstream").getOrCreate()
+    running = from_environment(spark)
+    print(f"http://{running.server_address[0]}:{running.server_port}")
+    running.serve_forever()
+
+
+if __name__ == "__main__":
+    main()

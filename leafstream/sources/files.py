@@ -9,12 +9,13 @@ from __future__ import annotations
 import base64
 import codecs
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafstream.functions.providers import role_words
 from leafstream.functions.text import extension, file_hash
 from leafstream.sources import books, word
 from leafstream.sources.plain import translatable
@@ -76,31 +77,45 @@ def uploaded(spark: SparkSession, filename: str, encoded: str) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [None if c is None else decode(c) for c in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ext"), pa.array(texts, pa.string())], names=["doc_id", "ext", "text"])
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """(doc_id, text) of plain texts and subtitles."""
-    own = files.where(F.col("ext").isin(".txt", ".md", ".srt")).select("doc_id", "content")
-    return own.mapInArrow(_decoded, "doc_id string, text string")
+    """(doc_id, ext, text) of plain texts and subtitles."""
+    own = files.where(F.col("ext").isin(".txt", ".md", ".srt")).select("doc_id", "ext", "content")
+    return own.mapInArrow(_decoded, "doc_id string, ext string, text string")
 
 
-_BLOCKS = "doc_id string, member string, place string, seg_id int, text string"
+def _rows(batches: Iterator[pa.RecordBatch], schema: str, read: Callable[[dict], list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """What `read` makes of each file, its doc_id before it and a null problem behind; for a file that can't be read a
+    row of nulls that says why, so that no file keeps the others from being read."""
+    types = {"string": pa.string(), "int": pa.int32()}
+    fields = [c.split() for c in schema.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for file in batch.to_pylist():
+            try:
+                rows += [(file["doc_id"], *row, None) for row in read(file)]
+            except Exception as e:  # noqa: BLE001
+                rows.append((file["doc_id"], *[None] * (len(fields) - 2), f"{type(e).__name__}: {e}"[:300]))
+        columns = list(zip(*rows)) or [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+_BLOCKS = "doc_id string, member string, place string, seg_id int, text string, problem string"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, ext, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ext", "content"))):
-            found = books.blocks(content) if ext == ".epub" else word.paragraphs(content)
-            rows += [(doc_id, member, place, no, text) for no, (member, place, text) in enumerate(found)]
-        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-        columns = list(zip(*rows)) or [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+    def read(file: dict) -> list[tuple]:
+        found = books.blocks(file["content"]) if file["ext"] == ".epub" else word.paragraphs(file["content"])
+        return [(member, place, no, text) for no, (member, place, text) in enumerate(found)]
+
+    return _rows(batches, _BLOCKS, read)
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """(doc_id, member, place, seg_id, text): the text blocks of books and word-processor documents, in order."""
+    """(doc_id, member, place, seg_id, text, problem): the text blocks of books and word-processor documents, in order.
+    A file that can't be read has one row, with its `problem`."""
     own = files.where(F.col("ext").isin(".epub", ".docx")).select("doc_id", "ext", "content")
     return own.mapInArrow(_blocks, _BLOCKS)
 
@@ -110,12 +125,16 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for ext, content, results in zip(*(batch.column(c).to_pylist() for c in ("ext", "content", "results"))):
             known = {r["seg_id"]: r["translation"] for r in results or ()}
-            out.append(books.rebuild(content, known) if ext == ".epub" else word.rebuild(content, known))
+            try:
+                out.append(books.rebuild(content, known) if ext == ".epub" else word.rebuild(content, known))
+            except Exception:  # noqa: BLE001
+                out.append(None)  # the blocks say what is wrong with it
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
 
 def rebuild(files: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, content): books and word-processor documents with the results (doc_id, seg_id, translation) in place.
+    """(doc_id, content): books and word-processor documents with the results (doc_id, seg_id, translation) in place;
+    a null content for those that can't be read.
 
     A document's results are collected to the row that holds its file, which bounds them.
     """
@@ -159,32 +178,37 @@ def _page_texts(content: bytes) -> list[str]:
     return found
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text) of PDF files, where a library that reads them is installed on the executors."""
+_PAGES = "doc_id string, page_no int, text string, problem string"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                rows += [(doc_id, no, text) for no, text in enumerate(_page_texts(content))]
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], names=["doc_id", "page_no", "text"])
 
-    return files.where(F.col("ext") == ".pdf").select("doc_id", "content").mapInArrow(read, "doc_id string, page_no int, text string")
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _rows(batches, _PAGES, lambda file: list(enumerate(_page_texts(file["content"]))))
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text, problem) of PDF files, where a library that reads them is installed on the executors. A
+    file that can't be read has one row, with its `problem`."""
+    return files.where(F.col("ext") == ".pdf").select("doc_id", "content").mapInArrow(_pages, _PAGES)
 
 
 _PROVIDER = (
     "name string, base_url string, url string, api_key string, key string, model string, concurrency int, enabled boolean, "
-    "extra_headers map<string,string>, use_for array<string>, roles array<string>"
+    "extra_headers map<string,string>, use_for string, roles string"
 )
 
 
 def read_providers(spark: SparkSession, path: str) -> DataFrame:
-    """A providers file: a list, or an object that holds one; other names of fields are taken, disabled ones left out."""
+    """A providers file: a list, or an object that holds one; other names of fields are taken, disabled ones left out.
+
+    `use_for` may be a list of roles or a text such as ``translate, review``, and comes out as an array.
+    """
     raw = spark.read.text(path, wholetext=True)
     listed = F.from_json(F.concat(F.lit('{"providers":'), F.col("value"), F.lit("}")), wrapped_schema())
     either = F.when(F.startswith(F.ltrim("value"), F.lit("[")), listed).otherwise(F.from_json("value", wrapped_schema()))
     rows = raw.select(F.explode(either["providers"]).alias("p")).select("p.*")
+    # a list that is read as a string stands there as JSON
+    told = F.coalesce("use_for", "roles")
+    roles = F.when(F.startswith(F.ltrim(told), F.lit("[")), F.from_json(told, "array<string>")).otherwise(role_words(told))
     return rows.where(F.coalesce("enabled", F.lit(True))).select(
         "name",
         F.coalesce("base_url", "url").alias("base_url"),
@@ -193,7 +217,7 @@ def read_providers(spark: SparkSession, path: str) -> DataFrame:
         "concurrency",
         "enabled",
         "extra_headers",
-        F.coalesce("use_for", "roles").alias("use_for"),
+        roles.alias("use_for"),
     )
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafstream import cli
 from leafstream.job import Job
+from leafstream.operators import providers as pools
 from leafstream.operators.dispatch import Provider, Settings
 from leafstream.operators.services import Echo
 from leafstream.sources import books, files, word
@@ -136,5 +138,39 @@ def test_cli(spark, folder, capsys):
     arguments = [str(folder / "in"), "-p", str(folder / "p.json"), "--prompt", str(folder / "prompt"), "-o", str(folder / "out")]
     assert cli.main(arguments, call=Echo()) == 0
     assert (folder / "out" / "a.fa.txt").read_text(encoding="utf-8").startswith("Hello")
+    told = capsys.readouterr().out
+    assert "a: " in told and "2 of 2 keys" in told and "unknown format" in told
     assert cli.main([*arguments, "--refine"], call=Echo()) == 1
     assert "no provider" in capsys.readouterr().out
+    single = [str(folder / "in" / "a.TXT"), "-p", str(folder / "p.json"), "-o", str(folder / "one" / "new.txt")]
+    assert cli.main(single, call=Echo()) == 0 and (folder / "one" / "new.txt").read_text(encoding="utf-8").startswith("Hello")
+
+
+def test_roles_as_text(spark, tmp_path):
+    entries = [{"name": n, "url": "u", "model": "m", "use_for": r} for n, r in (("a", "review"), ("b", ["t"]), ("c", "t+r"), ("d", []), ("e", "odd"))]
+    (tmp_path / "p.json").write_text(json.dumps(entries))
+    rows = pools.configured(files.read_providers(spark, str(tmp_path / "p.json")))
+    assert {r["name"]: r["roles"] for r in rows.collect()} == {"a": ["review"], "b": ["translate"], "c": ["translate", "review"], "d": ["translate", "review"], "e": ["translate", "review"]}
+    plain = spark.createDataFrame([("x", "u", "k", "m", 1, True, None, "refine")], "name string, base_url string, api_key string, model string, concurrency int, enabled boolean, extra_headers map<string,string>, use_for string")
+    assert pools.configured(plain).first()["roles"] == ["review"]
+
+
+def test_bad_files_keep_no_other_from_its_end(spark, folder):
+    (folder / "in" / "bad.epub").write_bytes(b"no archive")
+    (folder / "in" / "bad.docx").write_bytes(b"x")
+    (folder / "in" / "scan.pdf").write_bytes(b"%PDF")
+    job = Job(files.read_files(spark, str(folder / "in")), [Provider("a", concurrency=2)], Echo())
+    assert {r["output"] for r in job.run().collect()} == {"a.fa.txt", "b.fa.srt", "c.fa.epub", "d.fa.docx"}
+    assert {r["doc_id"].rsplit("/", 1)[-1] for r in job.problems().collect()} == {"bad.epub", "bad.docx", "scan.pdf", "e.xyz"}
+
+
+def test_watching(tmp_path):
+    path = tmp_path / "p.json"
+    path.write_text("[]")
+    lines = []
+    more = cli.watch(str(path), lambda: [Provider("n")], lines.append)
+    assert more() == []
+    os.utime(path, (1, 1))
+    assert [p.name for p in more()] == ["n"] and more() == []
+    path.unlink()
+    assert more() == [] and lines

@@ -59,10 +59,10 @@ def test_split_long_against_model(spark):
 
 def built(spark, texts, results=()):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    items = segmentation.text_items(docs)
-    pieces = segmentation.numbered(items)
+    items = segmentation.text_layouts(docs)
+    pieces = segmentation.segments_of(items)
     done = spark.createDataFrame(list(results), "doc_id int, seg_id int, translation string")
-    out = {r["doc_id"]: r["text"] for r in layouts.build_text(items, layouts.rendered(pieces, done)).collect()}
+    out = {r["doc_id"]: r["text"] for r in layouts.build_text(items, done).collect()}
     segments = {}
     for r in pieces.orderBy("doc_id", "seg_id").collect():
         segments.setdefault(r["doc_id"], []).append(r["text"])
@@ -79,8 +79,9 @@ def test_text_layout(spark):
 
 
 def test_text_rendered(spark):
-    out, _ = built(spark, ["A\n\n---\n\n B "], [(0, 0, "alpha"), (0, 1, "beta"), (9, 0, "none")])
-    assert out[0] == "alpha\n\n---\n\n beta "
+    text = "A\n\n---\n\n B "
+    out, _ = built(spark, [text, text, text, ""], [(0, 0, "alpha"), (0, 1, "beta"), (9, 0, "none"), (1, 1, "b"), (1, 1, "c"), (1, 7, "x"), (2, 0, None), (3, 0, "x")])
+    assert out == {0: "alpha\n\n---\n\n beta ", 1: "A\n\n---\n\n b ", 2: text, 3: ""}
 
 
 def test_subtitles(spark):
@@ -88,8 +89,10 @@ def test_subtitles(spark):
     cues = segmentation.subtitle_cues(docs)
     rows = cues.where("doc_id = 0").orderBy("cue_no").collect()
     assert [(r["body"], r["translatable"]) for r in rows] == [("Hi\nyou", True), ("...", False), (None, False)]
-    none = spark.createDataFrame([], "doc_id int, cue_no int, translation string")
-    text = {r["doc_id"]: r["text"] for r in layouts.build_subtitles(cues, none).collect()}
+    none = spark.createDataFrame([], "doc_id int, seg_id int, translation string")
+    whole = segmentation.subtitle_layouts(docs)
+    assert [r["text"] for r in segmentation.segments_of(whole).collect()] == ["Hi\nyou"]
+    text = {r["doc_id"]: r["text"] for r in layouts.build_subtitles(whole, none).collect()}
     mark = "‏"
     assert text[0] == f"1\n00:00:01,000 --> 00:00:02,000\n{mark}Hi\n{mark}you\n\n2\n00:00:03,000 --> 00:00:04,000\n...\n\nnote\n"
     again = segmentation.subtitle_cues(spark.createDataFrame([(0, text[0])], "doc_id int, text string"))

@@ -38,7 +38,7 @@ def ask(spark, monkeypatch):
 def finished(ask, number):
     for _ in range(300):
         status, told = ask(f"/api/jobs/{number}")
-        if told["status"] not in ("pending", "running"):
+        if told["status"] not in ("pending", "running") and (told["output"] or told["status"] != "done"):
             return told
         time.sleep(0.2)
     raise AssertionError("the job doesn't end")
@@ -74,3 +74,43 @@ def test_others(ask):
 def test_settings():
     s = server.settings_of({"chunk_chars": 1, "max_attempts": 99, "timeout": 1, "mode": "review"})
     assert (s.max_chars, s.max_attempts, s.timeout_s, s.mode) == (300, 30, 20, "refine")
+
+
+def test_progress_while_it_runs(spark):
+    """Percent, time left and the services' lines change before the end; a page is there; a cancelled job stops."""
+
+    class Slow:
+        def __call__(self, service, key, prompt, settings):
+            time.sleep(0.2)
+            return prompt
+
+    jobs = server.Jobs(spark, Slow())
+    text = "\n\n".join(f"Paragraph {i} {'x' * 280}" for i in range(60))
+    number = jobs.start({"text": text, "providers": [ENTRY], "chunk_chars": 300})
+    seen = []
+    while jobs.threads[number].is_alive():
+        seen.append(jobs.state(number))
+        time.sleep(0.2)
+    middle = [t for t in seen if 0 < t["percent"] < 100]
+    assert middle and middle[-1]["eta_seconds"] is not None and middle[-1]["left"] and middle[-1]["providers"][0]["done"] > 0
+    assert middle[-1]["recent"][0]["translation"].startswith("Paragraph") and middle[-1]["chars_per_min"] > 0
+    end = jobs.state(number)
+    assert end["status"] == "done" and end["percent"] == 100 and jobs.results[number][1].decode() == text
+    assert server.self_test(spark) == "One text.\n\nAnother text."
+
+
+def test_page(ask):
+    import re
+
+    assert re.search(b"<title>leafstream", ask("/")[1])
+
+
+def test_roles_in_words():
+    assert [p.name for p in server.for_mode([ENTRY | {"use_for": "review"}, ENTRY | {"name": "b", "use_for": "t/r"}], "refine")] == ["a", "b"]
+    with pytest.raises(ValueError):
+        server.for_mode([ENTRY | {"use_for": "review"}], "translate")
+
+
+def test_environment(spark, monkeypatch):
+    monkeypatch.setenv("LEAFSTREAM_PORT", "0")
+    assert server.from_environment(spark).server_port > 0

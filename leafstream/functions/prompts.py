@@ -46,6 +46,11 @@ def user_prompt(texts: Column) -> Column:
     return F.when(F.size(texts) == 1, F.coalesce(texts[0], F.lit(""))).otherwise(F.array_join(marked, "\n"))
 
 
+def base_prompt(mode: Column) -> Column:
+    """The built-in prompt of a run's mode."""
+    return F.when(mode.isin("refine", "review"), F.lit(BASE["refine"])).otherwise(F.lit(BASE["translate"]))
+
+
 def system_prompt(base: Column, extra: Column) -> Column:
     """The base prompt, followed by the user's own instructions if there are any."""
     extra = strip(F.coalesce(extra, F.lit("")))

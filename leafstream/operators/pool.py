@@ -78,14 +78,10 @@ class Settings:
 
     def clamped(self) -> Settings:
         """Within the limits that requests from outside are held to."""
-        held = {name: min(high, max(low, getattr(self, name))) for name, (low, high) in LIMITS.items()}
+        held = {name: min(high or math.inf, max(low, getattr(self, name))) for name, (_, low, high) in tables.LIMITS.items()}
         return replace(self, **held)
 
 
-#: Least and greatest settings of requests from outside.
-LIMITS = {"max_chars": (300, 20000), "max_attempts": (1, 30), "timeout_s": (20.0, math.inf)}
-
-
 def learn(providers: list[Provider], counted: list[Row], settings: Settings, now: float) -> None:
     """Takes in a wave's counts by provider and key (see ``dispatch.counted``): tallies, rejections, and pauses from `now`."""
     known = {p.name: p for p in providers}

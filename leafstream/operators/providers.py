@@ -102,3 +102,25 @@ def upsert_waiting(waiting: DataFrame, changes: DataFrame) -> DataFrame:
         F.coalesce("model", "c.model").alias("model"),
         F.greatest("concurrency", "c.concurrency").alias("concurrency"),
     )
+
+
+def totals(providers: DataFrame) -> DataFrame:
+    """(workers, n_keys, models) of the enabled providers: requests at a time, keys, and the models, sorted and once each."""
+    return providers.where("enabled").agg(
+        F.sum("concurrency").alias("workers"), F.sum(F.size("keys")).alias("n_keys"), F.array_sort(F.collect_set("model")).alias("models")
+    )
+
+
+#: What settings are by default, and the least and greatest that requests may ask for.
+LIMITS = {"max_chars": (2500, 300, 20000), "max_attempts": (6, 1, 30), "timeout_s": (240.0, 20.0, None)}
+
+
+def clamped(settings: DataFrame) -> DataFrame:
+    """Settings with defaults in place of nulls, within the limits of requests."""
+
+    def held(name: str) -> Column:
+        default, low, high = LIMITS[name]
+        value = F.greatest(F.lit(low), F.coalesce(F.col(name), F.lit(default)))
+        return value if high is None else F.least(F.lit(high), value)
+
+    return settings.select(*[held(c).alias(c) if c in LIMITS else F.col(c) for c in settings.columns])

@@ -62,9 +62,23 @@ def job_settings(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def answered(spark: SparkSession, directory: str) -> DataFrame:
+    """(part_id, job_id, file_hash, provider, seg_id, text, translation, finished_at): the finished parts by segment.
+
+    A part's texts are told apart by the blank lines that join them; an answer with more or fewer than there are texts
+    can't be attributed, and is left out.
+    """
+    own = chunks(spark, directory, "job_id", "seg_ids", "texts").select("chunk_id", "job_id", "seg_ids", "texts")
+    done = parts(spark, directory, "chunk_id", "file_hash", "provider", "translation", "finished_at").where("translation IS NOT NULL")
+    answers = F.when(F.size("texts") == 1, F.array("translation")).otherwise(F.split("translation", "\n\n", -1))
+    both = done.join(own, "chunk_id").withColumn("answers", answers).where(F.size("answers") == F.size("texts"))
+    rows = both.select("part_id", "job_id", "file_hash", "provider", "finished_at", F.explode(F.arrays_zip("seg_ids", "texts", "answers")).alias("_s"))
+    return rows.select(
+        "part_id", "job_id", "file_hash", "provider", F.col("_s.seg_ids").alias("seg_id"), F.col("_s.texts").alias("text"), F.col("_s.answers").alias("translation"), "finished_at"
+    )
+
+
 def checkpoint(spark: SparkSession, directory: str) -> DataFrame:
-    """(file_hash, mode, seg_sha1, translation, written_at): what the finished parts of one segment give."""
-    single = chunks(spark, directory, "job_id", "texts").where(F.size("texts") == 1).select("chunk_id", "job_id", F.get("texts", F.lit(0)).alias("text"))
-    finished = parts(spark, directory, "chunk_id", "file_hash", "translation", "finished_at").select("chunk_id", "file_hash", "translation", F.col("finished_at").alias("written_at"))
-    rows = finished.join(single.where("text IS NOT NULL"), "chunk_id").join(job_settings(spark, directory).select("job_id", "mode"), "job_id")
-    return rows.select("file_hash", "mode", segment_hash(F.col("text")).alias("seg_sha1"), "translation", "written_at")
+    """(file_hash, mode, seg_sha1, translation, written_at): what the finished parts give."""
+    rows = answered(spark, directory).where("text IS NOT NULL").join(job_settings(spark, directory).select("job_id", "mode"), "job_id")
+    return rows.select("file_hash", "mode", segment_hash(F.col("text")).alias("seg_sha1"), "translation", F.col("finished_at").alias("written_at"))

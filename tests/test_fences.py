@@ -1,4 +1,4 @@
-"""Fenced answers: the queries that leave none out, against a plain Python model."""
+"""Fenced answers: against a plain Python model."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def test_cleaned(spark, run):
         t = t or ""
         return ["<think>a\nb</think>" + t, "so it is</think>" + t, "```text\n" + t.strip() + "\n```", t][part % 4]
 
-    found = {r["part_id"]: r["digest"] for r in catalogue.QUERIES["cleaned_outputs_whole"](spark, run[0]).collect()}
+    found = {r["part_id"]: r["digest"] for r in catalogue.QUERIES["cleaned_outputs"](spark, run[0]).collect()}
     assert found == {p: digest(clean(wrapped(p, t))) for p, t in run[1].items()}
 
 
@@ -55,10 +55,10 @@ def test_served(spark, run):
         faults = {1: "rate_limit", 2: "transient"}
         return faults.get(part % 5) or ("transient" if not clean(t).strip() else "too_large" if part % 5 == 3 else None)
 
-    found = {r["part_id"]: r["kind"] for r in catalogue.QUERIES["service_answers_whole"](spark, run[0]).collect()}
+    found = {r["part_id"]: r["kind"] for r in catalogue.QUERIES["service_answers"](spark, run[0]).collect()}
     assert found == {p: kind(p, t) for p, t in run[1].items()}
 
 
 def test_dispatched(spark, run):
-    found = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["dispatched_whole"](spark, run[0]).collect()}
+    found = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["dispatched"](spark, run[0]).collect()}
     assert found == {str(i): digest(clean(t).strip()) for i, t in enumerate(FENCED) if re.search(r"[^\W\d_]", t or "")}

@@ -1,8 +1,8 @@
 """Finding and repairing text that was decoded with the wrong character encoding.
 
 The characters of a text are mapped back to the bytes of a legacy code page; an automaton over the byte
-structure of UTF-8 finds the maximal well-formed multibyte spans, and only those spans are decoded. The same
-is done for two-byte Chinese, and for single-byte pages, which have no byte structure, runs of characters are
+structure of UTF-8 finds the maximal well-formed multibyte spans, and only those spans are decoded. An automaton
+over the pairs of GBK does the same for two-byte Chinese. For single-byte pages, which have no byte structure, runs of characters are
 compared as they stand and as the other page would show them.
 """
 
@@ -223,16 +223,34 @@ def _to_bytes(run: str) -> bytes:
     return bytes(page[c] if c in page else ord(c) for c in run)
 
 
-def _chinese(raw: bytes) -> str | None:
-    """A run as two-byte Chinese, if it has that structure and mostly usual characters."""
-    try:
-        text = raw.decode("gb18030")
-    except UnicodeDecodeError:
+def _two_byte(page: dict[str, int]) -> re.Pattern[str]:
+    """The well-formed two-byte sequences of GBK, once or more in a row, over a page's characters: a lead of 81 to FE, and
+    behind it 40 to FE but 7F."""
+    low = "".join(re.escape(chr(b)) for b in range(0x40, 0x7F))
+    trail = _members(page, 0x80, 0xFE)
+    return re.compile(f"(?:{_members(page, 0x81, 0xFE)}[{low}{trail[1:-1]}])+")
+
+
+_TWO_BYTE = _two_byte(_BYTES["cp1252"])
+
+
+def _chinese(run: str) -> str | None:
+    """A run with its two-byte spans decoded, if they hold all its high characters, and mostly usual ones."""
+    out, at = [], 0
+    for m in _TWO_BYTE.finditer(run):
+        try:
+            read = _to_bytes(m.group()).decode("gbk")
+        except UnicodeDecodeError:  # pairs that the page leaves undefined
+            return None
+        out += [run[at : m.start()], read]
+        at = m.end()
+    between = "".join([*out[::2], run[at:]])
+    if not between.isascii():
         return None
-    high = [c for c in text if ord(c) > 0x7F]
-    usual = sum(1 for c in high if "一" <= c <= "鿿" and 0xB0 <= c.encode("gb18030")[0] <= 0xD7)
+    high = "".join(out[1::2])
+    usual = sum(1 for c in high if "一" <= c <= "鿿" and 0xB0 <= c.encode("gbk")[0] <= 0xD7)
     marks = sum(1 for c in high if c in "，。“”‘’！？：；、（）—…《》")
-    return text if usual >= 2 and usual + marks >= 0.85 * len(high) else None
+    return "".join([*out, run[at:]]) if usual >= 2 and usual + marks >= 0.85 * len(high) else None
 
 
 _ARABIC_WORD = re.compile("^[ء-غف-ْپچژگکیڈٹںھہ‌،؛؟٠-٩ـ]+$")
@@ -254,7 +272,7 @@ def _single(text: str) -> tuple[str, list[str]]:
         if not letters or LOST in run or _covered(m.string, m.start(), m.end()) > 0.75:
             return run
         raw = _to_bytes(run)
-        chinese = _chinese(raw)
+        chinese = _chinese(run)
         cyrillic = raw.decode("cp1251", "replace")
         arabic = raw.decode("cp1256", "replace")
         high = [w for w in re.findall("[^\\W\\d_]+", arabic)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+
 # The usual short words of each language.
 _SHORT = {
     "en": "the of and to in is was were it that for on with as at by this be are from or an not no i you he his her "
@@ -24,10 +26,6 @@ _SHORT = {
 }
 WORDS = {lang: frozenset(words.split()) for lang, words in _SHORT.items()}
 
-_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
-_ARABIC = re.compile("[ء-غف-يٱ-ۓ]+")
-_CYRILLIC = re.compile("[Ѐ-ӿ]+")
-_HAN = re.compile("[㐀-鿿]+")
 _LATIN_LANGUAGES = ("en", "fr", "de", "es")
 _LATIN_SHORT = frozenset().union(*(WORDS[lang] for lang in _LATIN_LANGUAGES))
 _ARTICLE = re.compile(r"\bال[^\W\d_]{3}")
@@ -44,23 +42,27 @@ _FA = frozenset(map(_persian_forms, WORDS["fa"]))
 _AR = frozenset(map(_persian_forms, WORDS["ar"]))
 
 
-def _length(pattern: re.Pattern[str], text: str) -> int:
-    return sum(map(len, pattern.findall(text)))
+_SCRIPTS = ("arabic", "latin", "cyrillic", "han")
+
+
+def _script_table() -> np.ndarray:
+    """The script of each character of the first plane, 0 for none of them."""
+    table = np.zeros(0x10000, dtype=np.uint8)
+    spans = {1: ("ءغ", "في", "ٱۓ"), 2: ("AZ", "az", "Àɏ"), 3: ("Ѐӿ",), 4: ("㐀鿿",)}
+    for script, pairs in spans.items():
+        for low, high in pairs:
+            table[ord(low) : ord(high) + 1] = script
+    return table
 
 
-_SCRIPTS = {"arabic": _ARABIC, "latin": _LATIN, "cyrillic": _CYRILLIC, "han": _HAN}
+_SCRIPT_OF = _script_table()
 
 
 def script_counts(text: str) -> dict[str, int]:
-    """Letters by script; once a script makes up more than half of a text, those after it count as none."""
-    if text.isascii():
-        return {"latin": _length(_LATIN, text), "arabic": 0, "cyrillic": 0, "han": 0}
-    out = dict.fromkeys(_SCRIPTS, 0)
-    for script, pattern in _SCRIPTS.items():
-        out[script] = _length(pattern, text) * (2 if script == "han" else 1)
-        if out[script] > len(text) // 2:  # the others are the smaller part
-            break
-    return out
+    """Letters by script; a Chinese character counts as two."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    found = np.bincount(_SCRIPT_OF[np.minimum(codes, 0xFFFF)], minlength=5).tolist()
+    return {script: found[no] * (2 if script == "han" else 1) for no, script in enumerate(_SCRIPTS, 1)}
 
 
 def identify(text: str, counts: dict[str, int] | None = None) -> tuple[str, float]:

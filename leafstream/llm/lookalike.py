@@ -23,8 +23,9 @@ from leafstream.sources.shared import settle
 LEAST = 20
 
 # Letters of other scripts and the Latin letters they look like.
-_CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеорсухіјѕԁԛԝһҮ", "ABESIJKMHOPCTYXaeopcyxijsdqwhY")
-_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEZHIKMNOPTYXoav")
+_CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеорсухіјѕԁԛԝһҮѴѵ", "ABESIJKMHOPCTYXaeopcyxijsdqwhYVv")
+_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρυ", "ABEZHIKMNOPTYXoavpu")
+_LATIN = ("ɡɑ", "ga")
 # Arabic forms of a letter or digit and the Persian ones.
 _ARABIC = ("يىكە٠١٢٣٤٥٦٧٨٩", "ییکه۰۱۲۳۴۵۶۷۸۹")
 _INVISIBLE = "\xad\u034f\u061c\u180e\u200b\u200d\u200e\u200f" + "".join(
@@ -41,10 +42,10 @@ _DIGIT_PLACES = "".join(chr(0xE100 + i) for i in range(10))
 
 def _single_forms() -> dict[str, str]:
     """Each character with one look-alike character, by rule and by the lists above."""
-    near = dict(zip(_CYRILLIC[0] + _GREEK[0] + _ARABIC[0] + _HYPHENS[0], _CYRILLIC[1] + _GREEK[1] + _ARABIC[1] + _HYPHENS[1]))
+    near = {a: b for pair in (_CYRILLIC, _GREEK, _LATIN, _ARABIC, _HYPHENS) for a, b in zip(*pair)}
     out: dict[str, str] = {}
-    # compatibility forms: full and half width, Arabic presentation forms, letterlike forms
-    for low, high in ((0xFB00, 0xFB06), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEF)):
+    # compatibility forms: letterlike forms, Roman numerals, full and half width, Arabic presentation forms, mathematical letters
+    for low, high in ((0x2100, 0x214F), (0x2160, 0x2188), (0xFB00, 0xFB06), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEF), (0x1D400, 0x1D7FF)):
         for code in range(low, high + 1):
             plain = unicodedata.normalize("NFKC", chr(code))
             if len(plain) == 1 and plain != chr(code):
@@ -77,12 +78,28 @@ def _long_forms() -> list[tuple[str, str]]:
     return [(a, b) for a, b in out if len(b) > 1]
 
 
+def _wide_forms() -> list[tuple[str, str]]:
+    """Signs of several letters: letterlike forms and Roman numerals, such as ℃ and Ⅷ."""
+    codes = [*range(0x2100, 0x2150), *range(0x2160, 0x2189)]
+    return [(chr(c), plain) for c in codes if len(plain := unicodedata.normalize("NFKC", chr(c))) > 1]
+
+
 _SINGLE = _single_forms()
 _LONG = _long_forms()
+_WIDE = _wide_forms()
+
+
+def _spelt(text: Column) -> Column:
+    """A text with signs of several letters spelt out; most have none, and are not looked through for each of them."""
+    out = text
+    for form, plain in _WIDE:
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return F.when(F.rlike(text, F.lit("[" + "".join(form for form, _ in _WIDE) + "]")), out).otherwise(text)
 
 
 def skeleton(text: Column) -> Column:
     """The look-alike skeleton of a text."""
+    text = _spelt(text)
     for form, plain in _LONG:
         text = F.replace(text, F.lit(form), F.lit(plain))
     # translate drops the characters beyond the length of its third argument
@@ -108,6 +125,7 @@ def reduced(text: Column) -> Column:
     drop = _INVISIBLE + "".join(
         chr(c) for c in [*range(0x300, 0x370), *range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6DD)] if chr(c) not in single
     )
+    text = _spelt(text)
     for form, plain in _LONG:
         plain = "".join(_bare(c) for c in plain if not unicodedata.combining(c))
         if len(plain) > 1:
@@ -175,18 +193,45 @@ def consistent(parts: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that the members of one spelling are spread over, so that no task holds all of a frequent one.
+PARTS = 16
+
+
+def _spellings(found: DataFrame) -> DataFrame:
+    """(field_name, canonical, text, spelling, n): the spellings of each class, named by their first members."""
+    member = F.struct("id", "no")
+    return found.groupBy("field_name", "canonical", "text").agg(F.min(member).alias("spelling"), F.count(F.lit(1)).alias("n"))
+
+
+def alike_classes(parts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(field_name, id, no, class_id, class_no, links): one row for each value that has a look-alike, with the first
+    member of its class and the number of values that look the same in another spelling. Linear in the values."""
+    found = settle(variants(values(parts, chunks)), "variants")
+    spellings = settle(_spellings(found), "spellings")
+    classes = spellings.groupBy("field_name", "canonical").agg(F.min("spelling").alias("c"), F.sum("n").alias("members"))
+    known = spellings.join(classes, ["field_name", "canonical"]).select("field_name", "text", "c", (F.col("members") - F.col("n")).alias("links"))
+    rows = found.join(known, ["field_name", "text"])
+    return rows.select("field_name", "id", "no", F.col("c.id").alias("class_id"), F.col("c.no").alias("class_no"), "links")
+
+
 def alike_found(parts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(field_name, id_a, no_a, id_b, no_b): the pairs of values of one class in different spellings.
 
-    Pairs of exact copies are not among them, so that copies, however many, only count against the other
-    spellings of their class.
+    Spellings are paired first, and each pair's members then, so that the work grows with the pairs that come out:
+    exact copies, however many, are never compared with each other.
     """
-    # both sides of the pairs are read from what is found once
-    found = settle(variants(values(parts, chunks)), "variants").withColumn("class", F.xxhash64("field_name", "canonical"))
-    a = found.select("field_name", "class", "canonical", F.col("text").alias("ta"), F.col("id").alias("id_a"), F.col("no").alias("no_a"))
-    b = found.select("field_name", "class", F.col("canonical").alias("cb"), F.col("text").alias("tb"), F.col("id").alias("id_b"), F.col("no").alias("no_b"))
-    return (
-        a.join(b, ["field_name", "class"])
-        .where("canonical = cb AND ta <> tb AND (id_a < id_b OR id_a = id_b AND no_a < no_b)")
-        .select("field_name", "id_a", "no_a", "id_b", "no_b")
+    found = settle(variants(values(parts, chunks)), "variants")
+    spellings = settle(_spellings(found), "spellings")
+    named = spellings.select("field_name", "text", "spelling")
+    members = found.join(named, ["field_name", "text"]).select("field_name", "spelling", F.struct("id", "no").alias("m"))
+    members = settle(members.withColumn("part", F.pmod(F.xxhash64("m"), F.lit(PARTS)).cast("int")), "members")
+    a = spellings.select("field_name", "canonical", F.col("spelling").alias("a"))
+    b = spellings.select("field_name", "canonical", F.col("spelling").alias("b"))
+    pairs = a.join(b, ["field_name", "canonical"]).where("a < b").select("field_name", "a", "b")
+    spread = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    left = spread.join(members.withColumnRenamed("spelling", "a").withColumnRenamed("m", "ma"), ["field_name", "a", "part"]).drop("a", "part")
+    both = left.join(members.drop("part").withColumnRenamed("spelling", "b").withColumnRenamed("m", "mb"), ["field_name", "b"])
+    first, last = F.least("ma", "mb"), F.greatest("ma", "mb")
+    return both.select(
+        "field_name", first["id"].alias("id_a"), first["no"].alias("no_a"), last["id"].alias("id_b"), last["no"].alias("no_b")
     )

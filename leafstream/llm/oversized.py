@@ -8,6 +8,7 @@ end the same pieces. Where a window holds no landmark, its last boundary of the
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,9 +67,8 @@ def _boundaries(text: str) -> list[np.ndarray]:
 
 def _whole(text: str, start: int, at: int) -> int:
     """The last place up to `at` that cuts no grapheme; `at` itself if one grapheme fills the whole piece."""
-    lead = max(start, at - 64)
-    last = lead
-    for m in _GRAPHEME.finditer(text, lead):
+    last = start
+    for m in _GRAPHEME.finditer(text, start):
         if m.end() > at:
             break
         last = m.end()
@@ -79,14 +79,14 @@ def split(text: str, max_chars: int, overlap_chars: int = 0) -> list[Piece]:
     """The pieces of `text`, none longer than `max_chars`.
 
     Consecutive pieces share up to `overlap_chars` characters: the shared part begins at the first boundary
-    within that reach, or exactly there where it holds none. An overlap of more than half of `max_chars` is
-    cut to half, so that each piece brings something new. A text within the limit is one piece. The pieces
+    within that reach, or exactly there where it holds none. An overlap of `max_chars` or more is taken as one less,
+    so that each piece brings something new. A text within the limit is one piece. The pieces
     without their overlaps, joined, are the text again.
     """
     max_chars = max(1, max_chars)
     if len(text) <= max_chars:
         return [Piece(0, len(text), 0, "end")]
-    overlap_chars = min(max(0, overlap_chars), max_chars // 2)
+    overlap_chars = min(max(0, overlap_chars), max_chars - 1)
     most = max_chars - overlap_chars
     least = max(1, most // 2)
     kinds = _boundaries(text)
@@ -100,6 +100,7 @@ def split(text: str, max_chars: int, overlap_chars: int = 0) -> list[Piece]:
     reach = max(8, spacing)
     cuts = _snap(marks, (strong, weak, word), reach)
     pieces: list[Piece] = []
+    begins: list[int] = []
     start = 0
     while start < len(text):
         low, high = start + least, start + most
@@ -108,8 +109,9 @@ def split(text: str, max_chars: int, overlap_chars: int = 0) -> list[Piece]:
             end, kind = len(text), "end"
         else:
             end, kind = _end(text, start, low, high, cuts, kinds)
-        shared = _shared(text, start, overlap_chars, kinds) if pieces else 0
+        shared = _shared(text, start, overlap_chars, kinds, begins) if pieces else 0
         pieces.append(Piece(start - shared, end, shared, kind))
+        begins.append(start)
         start = end
     return pieces
 
@@ -146,7 +148,7 @@ def _holds(places: np.ndarray, value: int) -> bool:
     return bool(at < len(places) and places[at] == value)
 
 
-def _shared(text: str, start: int, overlap: int, kinds: list[np.ndarray]) -> int:
+def _shared(text: str, start: int, overlap: int, kinds: list[np.ndarray], begins: list[int]) -> int:
     if not overlap:
         return 0
     low = start - overlap
@@ -159,7 +161,8 @@ def _shared(text: str, start: int, overlap: int, kinds: list[np.ndarray]) -> int
             best = int(places[at])
     if best == start:
         best = low
-        for m in _GRAPHEME.finditer(text, max(0, low - 64)):
+        # from a place that is known to cut no grapheme
+        for m in _GRAPHEME.finditer(text, begins[bisect.bisect_right(begins, low) - 1]):
             if m.start() >= low:
                 best = m.start()
                 break
@@ -176,10 +179,9 @@ def with_limits(chunks: DataFrame, jobs: DataFrame, settings: DataFrame) -> Data
         F.min(F.coalesce("max_chars", F.lit(DEFAULT_MAX_CHARS))).alias("max_chars"),
         F.max(F.coalesce("overlap_chars", F.lit(0))).alias("overlap_chars"),
     )
-    least = limits.agg(F.min("max_chars").alias("m")).first()["m"]
-    least = min(DEFAULT_MAX_CHARS, least if least is not None else DEFAULT_MAX_CHARS)
+    least = limits.agg(F.least(F.lit(DEFAULT_MAX_CHARS), F.min("max_chars"))).scalar()
     long = once(
-        text_elements(chunks, "job_id", keep=F.length("text") > F.lit(least)),
+        text_elements(chunks, "job_id", keep=F.length("text") > least),
         "chunk_id",
         "text_no",
     )

@@ -12,7 +12,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +91,22 @@ def _framed(answer: str, source: str) -> bool:
 
 def _overlap(answer: str, source: str, mine: dict[str, int], theirs: dict[str, int]) -> tuple[float, float, float]:
     """What part of the answer is in the source, of the source in the answer, and the part that tells a copy.
-    Texts without a common script share nothing; very short ones only if they are the same, or the source in a frame."""
-    if not any(mine[k] and theirs[k] for k in mine) and any(theirs.values()):
+
+    Of the source no more can stand in the answer than the answer has letters of its scripts: where that bounds the
+    parts below what any function votes on, they count as the bound and 0. Very short texts are copies only if they
+    are the same, or the source in a frame."""
+    whole = sum(theirs.values())
+    if whole and sum(min(mine[k], theirs[k]) for k in mine) / whole < 0.2:
         return 0.0, 0.0, 0.0
-    a, b = _grams(_plain(answer)), _grams(_plain(source))
     if _framed(answer, source):
         return 1.0, 1.0, 1.0
+    a, b = _grams(_plain(answer)), _grams(_plain(source))
     n, m = sum(a.values()), sum(b.values())
     shared = sum((a & b).values())
     of_answer, of_source = shared / max(1, n), shared / max(1, m)
     if n < 16 and min(of_answer, of_source) < 1:
         return of_answer, of_source, 0.0
-    return of_answer, of_source, max(of_answer, of_source if n < 3 * m else 0.0)
+    return of_answer, of_source, max(of_answer, of_source)
 
 
 # ---- refusals ----------------------------------------------------------------------------------------------
@@ -170,7 +175,7 @@ def _near(first: re.Pattern[str], second: re.Pattern[str], said: str) -> bool:
     return any(second.search(said, max(0, m.start() - _APART), m.end() + _APART) for m in first.finditer(said))
 
 
-def declining(text: str) -> int | None:
+def declining(text: str) -> tuple[int, int] | None:
     """Where a text, outside its quotations, first says that it declines the task: in a sentence, or two in a row."""
     if not _TASK.search(text.replace("\u200c", "").casefold().replace("ي", "ی")):
         return None
@@ -181,110 +186,208 @@ def declining(text: str) -> int | None:
     for m in _SENTENCE.finditer(plain):
         said = re.sub(r"\s+", " ", _plain(m.group().replace("\u200c", "")).replace("’", "'"))
         if _near(_DECLINE, _TRANSLATING, f"{before} {said}") or _near(_I_DECLINE, _TASK, said):
-            return m.start()
+            return m.span()
         before = said
     return None
 
 
-def measure(source: str | None, answer: str | None) -> dict[str, object]:
-    """The votes on one pair, by defect, and what the vote on its length needs."""
-    source, raw = source or "", answer or ""
-    raw_source = source
-    fixed = repair(source, western=False)
-    source = core(fixed.text if fixed else source)
-    text = core(raw)
-    letters, source_letters = _letters(text), _letters(source)
-    counts = script_counts(text)
-    known = sum(counts.values())
-    persian_share = counts["arabic"] / known if known else 0.0
-    language, evidence = identify(text, counts)
-    source_counts = script_counts(source)
-    origin, _ = identify(source, source_counts)
-    votes: dict[str, list[int]] = {}
-
-    nothing = letters == 0
-    votes["empty"] = [
-        1 if nothing else -1,
-        1 if not text.strip() else 0 if letters < 2 else -1,
-        1 if letters * 50 < source_letters and letters < 2 else -1,
-    ]
-    if nothing:
-        votes |= {"refusal": [-1] * 5, "copied": [-1] * 3, "wrong_language": [-1] * 3, "truncated": [-1] * 3}
-        return {"votes": votes, "origin": origin, "ratio": None, "open": False}
-
-    # most answers name no task, and need no closer look; what declines where its source does renders it
-    refuses = declining(text)
-    if refuses is not None and declining(source) is not None:
-        refuses = None
-    # a short answer may decline in words too weak to count anywhere
-    start = text[:480].replace("\u200c", "")
-    task = _TASK.search(start.casefold().replace("ي", "ی"))
-    declines = sorry = None
-    if task:
+class Pair:
+    """What the labelling functions look at. Each looks for itself: none knows how another has voted."""
+
+    def __init__(self, source: str | None, answer: str | None):
+        self.raw_source, self.raw = source or "", answer or ""
+        fixed = repair(self.raw_source, western=False)
+        self.source, self.text = core(fixed.text if fixed else self.raw_source), core(self.raw)
+        self.letters, self.source_letters = _letters(self.text), _letters(self.source)
+        self.counts, self.source_counts = script_counts(self.text), script_counts(self.source)
+        self.language, self.evidence = identify(self.text, self.counts)
+        self.origin, _ = identify(self.source, self.source_counts)
+        known = sum(self.counts.values())
+        self.persian_share = self.counts["arabic"] / known if known else 0.0
+        self.units, self.source_units = units(self.text), units(self.source)
+        self.numbers, self.own_numbers = _numbers(self.source), set(_numbers(self.text))
+        self.clipped = len(self.raw_source) >= CLIP - 12
+
+    @cached_property
+    def overlap(self) -> tuple[float, float, float]:
+        return _overlap(self.text, self.source, self.counts, self.source_counts)
+
+    @cached_property
+    def declined(self) -> tuple[int, int] | None:
+        """Where the answer declines, unless its source does so too, which it then renders."""
+        found = declining(self.text)
+        return None if found is None or declining(self.source) is not None else found
+
+    @cached_property
+    def opening(self) -> tuple[bool, bool, bool]:
+        """Whether the first words of the answer speak of the task, decline, and apologize: a short answer may do so in
+        words too weak to count anywhere."""
+        start = self.text[:480].replace("\u200c", "")
+        if not _TASK.search(start.casefold().replace("ي", "ی")):
+            return False, False, False
         head = re.sub(r"\s+", " ", _plain(start).replace("’", "'"))
-        declines, sorry = _DECLINE.search(head[:240]), _SORRY.search(head[:400])
-    length = len(text)
-    # a Persian answer copies nothing but a Persian source, which may be returned
-    rendering = language == "fa" and persian_share > 0.6
-    of_answer, of_source, copied = (0.0, 0.0, 0.0) if rendering else _overlap(text, source, counts, source_counts)
-    numbers = _numbers(source)
-    mine_numbers = set(_numbers(text))
-    source_units, answer_units = units(source), units(text)
-    weakly = bool(declines and task)
-    found = refuses is not None
-    votes["refusal"] = [
-        1 if found or weakly else -1,
-        1 if found or task and (declines or sorry) else -1,
-        # where it declines: late is no evidence against it
-        -1 if not found and (not weakly or length > 420) else 1 if found and refuses < 240 else 0,
-        # how long it is: length tells only where nothing declines
-        (0 if found else -1) if length > 420 or copied > 0.5 else 0 if length > 260 else 1 if found or task and (declines or sorry) else 0,
-        -1 if not found and (mine_numbers.intersection(numbers) or answer_units > 5) else 0,
-    ]
-    refused = found or weakly and length <= 420 and copied <= 0.5
-
-    persian_source = origin == "fa"
-    own = [-1, -1, -1] if persian_source or refused and copied <= 0.5 else [
-        1 if copied >= 0.7 else -1 if copied <= 0.4 else 0,
-        1 if min(of_answer, of_source) >= 0.5 else -1 if max(of_answer, of_source) <= 0.3 else 0,
-        -1 if rendering else 1 if language == origin and language else 0,
-    ]
-    votes["copied"] = own
-
-    foreign = language not in ("fa", "", origin) and not refused
-    votes["wrong_language"] = [
-        1 if foreign and evidence >= 2 else 0 if foreign else -1,
-        -1 if persian_share > 0.6 and language == "fa" else 1 if copied < 0.4 and not refused else 0,
-        -1 if copied >= 0.5 or refused or language in ("fa", origin) else 1 if evidence >= 1 else 0,
-    ]
-
-    rendered = persian_share > 0.5 and language == "fa" and not refused
-    ratio = math.log(letters / source_letters) if rendered and source_letters >= 12 else None
-    clipped = len(raw_source) >= CLIP - 12
-    stopped = bool(_STOPPED.search(text)) and not re.search("[\\[(«“]\\s*$", text)
-    tail = text.rstrip().rsplit("\n", 1)[-1].rsplit("—", 1)[-1]
-    heading = len(tail) < 30 and bool(re.search(r"\d\s*$|پوند", tail))
-    # a source that itself breaks off, or leads on to something, may have an answer that does
-    leads_on = bool(re.search("[:;,،—–-]\\s*$", source))
-    ended = bool(_STOPPED.search(source) or source_units > 1) and not leads_on
-    open_end = not clipped and not stopped and not heading and ended
-    if not rendered or len(answer or "") >= CLIP - 12:
-        votes["truncated"] = [-1, -1, -1]
-    else:
-        share = answer_units / max(1, source_units)
-        late = set(numbers[len(numbers) // 2 :]) if len(numbers) >= 2 else set()
-        votes["truncated"] = [
-            0 if source_units < 3 and share >= 0.5 else 1 if share < 0.7 else -1 if share >= 0.8 else 0,
-            1 if open_end or _OPEN_END.search(text) and not clipped and not leads_on else -1 if stopped or heading else 0,
-            0 if not late else 1 if not late & mine_numbers else -1,
-        ]
-        if clipped:
-            votes["truncated"] = [min(0, v) if i != 0 else v for i, v in enumerate(votes["truncated"])]
-    return {"votes": votes, "origin": origin, "ratio": ratio, "open": open_end}
+        declines = _DECLINE.search(head[:240])
+        # words that the source has itself are repeated, not said
+        own = declines and declines.group() not in _plain(self.source).replace("’", "'")
+        return True, bool(own), bool(_SORRY.search(head[:400]))
+
+    @cached_property
+    def rendering(self) -> str:
+        """The answer without what it says about itself; a refusal with little beside it has none."""
+        if self.declined is None and not (self.opening[1] and len(self.text) <= 420):
+            return self.text
+        start, end = self.declined or (0, len(self.text))
+        rest = self.text[:start] if start > len(self.text) - end else self.text[end:]
+        return rest if _letters(rest) > 0.2 * self.source_letters and units(rest) > 1 else ""
+
+    @cached_property
+    def spoken(self) -> tuple[str, float, float]:
+        """The language of the rendering, the evidence for it, and its share of Persian letters."""
+        if self.rendering is self.text:
+            return self.language, self.evidence, self.persian_share
+        counts = script_counts(self.rendering)
+        return *identify(self.rendering, counts), counts["arabic"] / max(1, sum(counts.values()))
+
+    @cached_property
+    def open_end(self) -> bool | None:
+        """Whether the answer breaks off where its source doesn't; None where neither end says anything."""
+        text = self.rendering
+        stopped = bool(_STOPPED.search(text)) and not re.search("[\\[(«“]\\s*$", text)
+        tail = text.rstrip().rsplit("\n", 1)[-1].rsplit("—", 1)[-1]
+        heading = len(tail) < 30 and bool(re.search(r"\w\s*\d+\s*$", tail))
+        leads_on = bool(re.search("[:;,،—–-]\\s*$", self.source))
+        ended = bool(_STOPPED.search(self.source) or self.source_units > 1) and not leads_on
+        if self.clipped:
+            return None
+        if not stopped and not heading and ended or _OPEN_END.search(text) and not leads_on:
+            return True
+        return False if stopped or heading else None
+
+
+# ---- labelling functions: 1 for the defect, -1 against it, 0 without an opinion --------------------------------
+
+
+def _sign(yes: bool | None, no: bool | None = None) -> int:
+    """1, else -1 (where `no` is given, only if it holds), else 0."""
+    return 1 if yes else -1 if no or no is None else 0
+
+
+def _shorter(p: Pair) -> int:
+    """Beside a longer source, an answer of almost no letters says nothing."""
+    return _sign(p.letters * 50 < p.source_letters, p.letters >= 2 and p.source_letters >= 50)
+
+
+def _content(p: Pair) -> int:
+    """An answer with the source's numbers, or with as many statements, carries the task out."""
+    shared = bool(p.own_numbers.intersection(p.numbers))
+    return -1 if shared or p.units > 5 and p.units >= 0.7 * p.source_units else 0
+
+
+def _size_of_refusal(p: Pair) -> int:
+    """Refusals are short, whatever the source; only one that speaks of the task is told by its length, though."""
+    task, declines, sorry = p.opening
+    if len(p.text) > 420:
+        return 0 if p.declined else -1
+    return 0 if len(p.text) > 260 else _sign(p.declined is not None or task and (declines or sorry), False)
+
+
+def _place_of_refusal(p: Pair) -> int:
+    """Where an answer declines: at its beginning it is surest, and late is no evidence against it."""
+    if p.declined is None:
+        return _sign(False, not (p.opening[1] and len(p.text) <= 420))
+    return 1 if p.declined[0] < 240 else 0
+
+
+def _both_ways(p: Pair) -> int:
+    of_answer, of_source, _ = p.overlap
+    return _sign(min(of_answer, of_source) >= 0.5, max(of_answer, of_source) <= 0.3)
+
+
+def _whole_lines(p: Pair) -> int:
+    """The source's longest lines, as they stand in it."""
+    if not p.overlap[2]:
+        return -1
+    lines = sorted((x.strip() for x in p.source.split("\n")), key=len)[-3:]
+    lines = [x for x in lines if len(x) >= 20]
+    found = sum(x in p.text for x in lines)
+    return 0 if not lines else _sign(found == len(lines), found == 0 and p.overlap[2] < 0.4)
+
+
+def _foreign_words(p: Pair) -> int:
+    """The short words of a language that is neither Persian nor the source's."""
+    language, evidence, _ = p.spoken
+    foreign = language not in ("fa", "", p.origin)
+    return _sign(foreign and evidence >= 2, not foreign)
+
+
+def _foreign_script(p: Pair) -> int:
+    """Hardly any letter of the Persian script; Arabic, which shares it, is told by its words."""
+    language, _, share = p.spoken
+    return _sign(share < 0.2 or language == "ar", share > 0.6 and language == "fa")
+
+
+def _foreign_content(p: Pair) -> int:
+    """What is in neither language shares little with its source."""
+    language, evidence, _ = p.spoken
+    if language in ("fa", p.origin) or p.overlap[2] >= 0.5:
+        return -1
+    return _sign(evidence >= 1 and p.overlap[2] < 0.4, False)
+
+
+def _statements(p: Pair) -> int:
+    """The share of the source's statements that the answer has."""
+    share = units(p.rendering) / max(1, p.source_units) if p.rendering is not p.text else p.units / max(1, p.source_units)
+    return 0 if p.source_units < 3 and share >= 0.5 else _sign(share < 0.7, share >= 0.8)
+
+
+def _late_numbers(p: Pair) -> int:
+    """The numbers of the source's second half."""
+    late = set(p.numbers[len(p.numbers) // 2 :]) if len(p.numbers) >= 2 else set()
+    return 0 if not late else _sign(not late & p.own_numbers and not p.clipped, bool(late & p.own_numbers))
+
+
+_FUNCTIONS: dict[str, tuple[Callable[[Pair], int], ...]] = {
+    "empty": (
+        lambda p: _sign(p.letters == 0),
+        lambda p: _sign(not p.text.strip(), p.letters >= 2),
+        _shorter,
+    ),
+    "refusal": (
+        lambda p: _sign(p.declined is not None or p.opening[1] and len(p.text) <= 420),
+        lambda p: _sign(p.declined is not None or p.opening[0] and (p.opening[1] or p.opening[2]) and len(p.text) <= 420),
+        _place_of_refusal,
+        _size_of_refusal,
+        _content,
+    ),
+    "copied": (
+        lambda p: _sign(p.overlap[2] >= 0.7, p.overlap[2] <= 0.4),
+        _both_ways,
+        _whole_lines,
+        lambda p: _sign(bool(p.language) and p.language == p.origin, p.language == "fa"),
+    ),
+    "wrong_language": (_foreign_words, _foreign_script, _foreign_content),
+    "truncated": (_statements, lambda p: 0 if p.open_end is None else _sign(p.open_end), _late_numbers),
+}
+
+
+def measure(source: str | None, answer: str | None) -> dict[str, object]:
+    """The votes on one pair, by defect, and what the vote on its length needs.
+
+    A function has no opinion on what isn't there: nothing is declined, copied or rendered by an answer without
+    letters, a Persian source may be returned, and only renderings can stop early or be in the wrong language.
+    """
+    p = Pair(source, answer)
+    renders = bool(p.letters and p.rendering)
+    in_persian = renders and p.spoken[0] == "fa" and p.spoken[2] > 0.5 and len(p.raw) < CLIP - 12
+    asked = {"empty": True, "refusal": p.letters, "copied": p.letters and p.origin != "fa", "wrong_language": renders, "truncated": in_persian}
+    votes = {d: [f(p) for f in functions] if asked[d] else [0] * len(functions) for d, functions in _FUNCTIONS.items()}
+    letters = p.letters if p.rendering is p.text else _letters(p.rendering)
+    ratio = math.log(letters / p.source_letters) if in_persian and letters and p.source_letters >= 12 else None
+    return {"votes": votes, "origin": p.origin, "ratio": ratio}
 
 
 _CODE = {-1: "-", 0: "0", 1: "+"}
-MEASURES = "part_id bigint, origin string, ratio double, open boolean, " + ", ".join(f"{d} string" for d in DEFECTS)
+MEASURES = "part_id bigint, origin string, ratio double, " + ", ".join(f"{d} string" for d in DEFECTS)
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +398,6 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(ids, pa.int64()),
             pa.array([m["origin"] for m in seen], pa.string()),
             pa.array([m["ratio"] for m in seen], pa.float64()),
-            pa.array([m["open"] for m in seen], pa.bool_()),
         ] + [pa.array(["".join(_CODE[v] for v in m["votes"][d]) for m in seen], pa.string()) for d in DEFECTS]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MEASURES.split(", ")])
 
@@ -316,21 +418,20 @@ def vote(parts: DataFrame) -> DataFrame:
         .otherwise("0")
     )
     joined = measured.join(F.broadcast(usual), "origin", "left")
-    longer = F.when(F.col("truncated") == "---", F.lit("-")).otherwise(length)
-    return joined.select(
-        "part_id", *DEFECTS[:-1], F.concat("truncated", longer).alias("truncated")
-    )
+    return joined.select("part_id", *DEFECTS[:-1], F.concat("truncated", length).alias("truncated"))
 
 
 def learn(patterns: dict[str, int], prior: float = 0.05, rounds: int = 60) -> dict[str, float]:
     """The posterior of a defect for each vote pattern, given how often each occurs.
 
     The functions are taken as independent given the truth, and one without an opinion as no evidence. Each
-    starts as mostly right, as if some pairs more had voted so, which keeps what is rare from drifting.
+    starts as mostly right, as if some pairs more had voted so, which keeps what is rare from drifting. Pairs on
+    which no function has an opinion teach nothing, and have no defect.
     """
-    names = sorted(patterns)
+    names = sorted(n for n in patterns if n.strip("0"))
+    silent = {n: 0.0 for n in patterns if not n.strip("0")}
     if not names:
-        return {}
+        return silent
     counts = np.array([patterns[n] for n in names], dtype=float)
     votes = np.array([[{"-": 0, "0": -1, "+": 1}[c] for c in n] for n in names])
     start = np.array([[0.97, 0.03], [0.12, 0.88]])  # truth x vote
@@ -350,7 +451,7 @@ def learn(patterns: dict[str, int], prior: float = 0.05, rounds: int = 60) -> di
                 theta[f, :, v] = weight[votes[:, f] == v].sum(axis=0) + pseudo[:, v]
             theta[f] /= theta[f].sum(axis=1, keepdims=True)
         share = (weight[:, 1].sum() + 1) / (counts.sum() + 20)
-    return dict(zip(names, posterior.tolist()))
+    return silent | dict(zip(names, posterior.tolist()))
 
 
 def posteriors(votes: DataFrame) -> DataFrame:

@@ -47,6 +47,10 @@ def p4_consistent(spark: SparkSession, directory: str) -> DataFrame:
     return lookalike.consistent(*_tables(spark, directory, "recent_parts", "chunks"))
 
 
+def p4_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return lookalike.alike_classes(*_tables(spark, directory, "recent_parts", "chunks"))
+
+
 def p5_packed(spark: SparkSession, directory: str) -> DataFrame:
     documents, sizes = _tables(spark, directory, "documents", "container_sizes")
     return packing.pack(token_sizes(documents), sizes)
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_consistent": p4_consistent,
+    "p4_classes": p4_classes,
     "p5_packed": p5_packed,
     "p5_report": p5_report,
     "p6_mixed": p6_mixed,

@@ -147,3 +147,116 @@ def test_learning_ignores_noise():
     learned = pairs.learn(patterns)
     assert learned["+++"] > 0.95 and learned["---"] < 0.01 and learned["-+-"] < 0.5 and learned["++0"] > 0.5
     assert pairs.learn({}) == {}
+
+
+# ---- held-out pairs, of other wording than those above -----------------------------------------------------------
+
+SUBJECTS = [("Die Nachbarin", "همسایه"), ("Der alte Kapitän", "ناخدای پیر"), ("Ein junger Schreiner", "نجاری جوان"), ("Meine Tante", "خاله‌ام"), ("Der Postbote", "نامه‌رسان"), ("Die Lehrerin", "آموزگار")]
+PREDICATES = [
+    ("trug die Kisten langsam zum Hafen hinunter", "جعبه‌ها را آهسته تا بندر پایین برد"),
+    ("erzählte den Kindern von dem langen Winter", "برای بچه‌ها از زمستان بلند تعریف کرد"),
+    ("vergaß den Regenschirm wieder im Zug", "باز چترش را در قطار جا گذاشت"),
+    ("wartete bis zum Abend auf eine Antwort", "تا غروب چشم به راه پاسخ ماند"),
+    ("reparierte das Dach vor dem ersten Schnee", "پیش از نخستین برف بام را تعمیر کرد"),
+]
+OTHER_LANGUAGE = "La barca verde quedó en la orilla y los pescadores no la vieron, porque la niebla era muy densa y la noche ya estaba cerca."
+REFUSALS = [
+    "I am not able to translate this material, as it goes against my guidelines.", "Diesen Text kann ich leider nicht übersetzen.",
+    "من قادر نیستم این بخش را به فارسی ترجمه کنم.", "It is not possible for me to provide a translation of this content.",
+    "به عنوان یک مدل زبان، از ترجمهٔ این متن معذورم.",
+]
+
+
+def statements(rnd, n):
+    """(source, answer) as lists of sentences; few hold numbers, and answers are freely worded in length."""
+    rows = []
+    for _ in range(n):
+        a, v = rnd.choice(SUBJECTS), rnd.choice(PREDICATES)
+        k = rnd.randint(3, 90)
+        number = rnd.random() < 0.25
+        extra = rnd.choice(["", "، آرام و بی‌صدا", "، چنان که همه می‌گفتند"])
+        rows.append((f"{a[0]} {v[0]}" + (f" und zählte {k} Möwen." if number else "."), f"{a[1]} {v[1]}{extra}" + (f" و {k} مرغ دریایی شمرد." if number else ".")))
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
+def held_out(seed, n=1500, rate=0.3):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        source, answer = statements(rnd, rnd.randint(4, 14))
+        text, whole, defects = " ".join(source), " ".join(answer), set()
+        kind = rnd.choice([*pairs.DEFECTS, "refusal+copied", "refusal+truncated", "refusal+wrong_language"]) if rnd.random() < rate else ""
+        defects |= set(filter(None, kind.split("+")))
+        refusal = rnd.choice(REFUSALS)
+        if kind == "empty":
+            whole = rnd.choice(["", "…", "<<<1>>>", "```\n```", None])
+        elif kind == "refusal":
+            whole = refusal
+        elif kind == "copied":
+            whole = rnd.choice([text, "Übersetzung:\n" + text, text.replace("ß", "ss"), " ".join(source[: max(4, len(source) - 1)])])
+        elif kind == "wrong_language":
+            whole = " ".join([OTHER_LANGUAGE] * rnd.randint(1, 3))
+        elif kind == "refusal+wrong_language":
+            whole = " ".join([OTHER_LANGUAGE] * 3) + "\n\n" + refusal
+        elif kind == "truncated":
+            kept = answer[: max(1, int(len(answer) * rnd.uniform(0.15, 0.55)))]
+            whole = " ".join(kept)
+            whole = whole if rnd.random() < 0.5 else whole[: -rnd.randint(2, 9)]
+        elif kind == "refusal+copied":
+            whole = text + "\n\n" + refusal
+        elif kind == "refusal+truncated":
+            whole = " ".join(answer[: max(2, len(answer) // 2 - 1)]) + "\n\n" + refusal
+        elif rnd.random() < 0.1:
+            whole = whole[:-1]  # sound, without its last full stop
+        elif rnd.random() < 0.1:
+            whole = "؛ ".join(x.rstrip(".") for x in answer) + "."  # sound, its sentences run together
+        rows.append((i, text, whole, defects))
+    return rows
+
+
+def test_label_model_beats_majority(spark):
+    """On pairs of other wording the label model makes fewer mistakes than a majority of the same votes."""
+    rows = held_out(5)
+    frame = spark.createDataFrame([r[:3] for r in rows], PARTS)
+    votes = {r["part_id"]: r for r in pairs.vote(frame).collect()}
+    found = labels(spark, rows)
+    wrong = {"model": 0, "majority": 0}
+    for i, _, _, defects in rows:
+        for d in pairs.DEFECTS:
+            majority = votes[i][d].count("+") > votes[i][d].count("-")
+            wrong["majority"] += majority != (d in defects)
+            wrong["model"] += (d in found[i]["defects"]) != (d in defects)
+    assert wrong["model"] < wrong["majority"] and wrong["model"] <= 0.01 * len(rows) * len(pairs.DEFECTS), wrong
+
+
+def test_two_defects(spark):
+    """Pairs with two planted defects get both."""
+    rows = held_out(6)
+    found = labels(spark, rows)
+    for both in ({"refusal", "copied"}, {"refusal", "truncated"}, {"refusal", "wrong_language"}):
+        own = [r for r in rows if r[3] == both]
+        got = sum(both <= set(found[r[0]]["defects"]) for r in own)
+        assert len(own) > 30 and got >= 0.95 * len(own), (both, got, len(own), [(r, found[r[0]]["defects"]) for r in own if not both <= set(found[r[0]]["defects"])][:2])
+
+
+@pytest.mark.parametrize("defect", pairs.DEFECTS)
+def test_cutoffs_on_other_wording(spark, defect):
+    rows = held_out(7)
+    found = labels(spark, rows)
+    scored = [(found[r[0]][f"p_{defect}"], defect in r[3]) for r in rows]
+
+    def f1(cut):
+        hit = sum(t for p, t in scored if p > cut)
+        return 2 * hit / max(1, sum(p > cut for p, _ in scored) + sum(t for _, t in scored))
+
+    best = max(f1(c / 20) for c in range(1, 20))
+    assert f1(pairs.CUTOFFS[defect]) >= best - 0.02 and best > 0.9, (f1(pairs.CUTOFFS[defect]), best)
+
+
+def test_source_behind_persian_sentences(spark):
+    """An answer that repeats the whole source is a copy, whatever share of Persian stands before it."""
+    rnd = random.Random(3)
+    source, answer = (" ".join(x) for x in statements(rnd, 6))
+    rows = planted(n=300) + [(7001, source, " ".join([answer] * 2) + "\n\n" + source, None)]
+    votes = {r["part_id"]: r for r in pairs.vote(spark.createDataFrame([r[:3] for r in rows], PARTS)).collect()}
+    assert votes[7001]["copied"][0] == "+" and votes[7001]["copied"][2] == "+"

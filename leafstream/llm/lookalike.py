@@ -91,10 +91,9 @@ _WIDE = _wide_forms()
 
 def _spelt(text: Column) -> Column:
     """A text with signs of several letters spelt out; most have none, and are not looked through for each of them."""
-    out = text
-    for form, plain in _WIDE:
-        out = F.replace(out, F.lit(form), F.lit(plain))
-    return F.when(F.rlike(text, F.lit("[" + "".join(form for form, _ in _WIDE) + "]")), out).otherwise(text)
+    forms = F.array(*[F.struct(F.lit(form).alias("form"), F.lit(plain).alias("plain")) for form, plain in _WIDE])
+    out = F.aggregate(forms, text, lambda t, f: F.replace(t, f["form"], f["plain"]))
+    return F.when(F.rlike(text, F.lit("[\u2100-\u214f\u2160-\u2188]")), out).otherwise(text)
 
 
 def skeleton(text: Column) -> Column:

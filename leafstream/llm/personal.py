@@ -16,7 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafstream.sources.shared import settle
+
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: What may be a name, as other documents tell.
+MAYBE = "maybe"
 
 # ---- fixed values ------------------------------------------------------------------------------------------
 
@@ -82,7 +86,9 @@ _PHONE = re.compile(
     r"|[+۰][۰-۹]{2,3}[ -]?[۰-۹](?:[ -]?[۰-۹]){7,10})"
     r"(?![\w/]|[.-]\d)"
 )
-_PHONE_AT = re.compile(r"\+\d{1,3}[ .(-]?[\d(]|\(\d{3}\) ?\d{3}[-.]\d|\b00[1-9][\d-]|\b0\d{1,4}[ /.-]\d\d|\b[2-9]\d\d[-.]\d{3}[-.]\d{4}\b|[۰-۹]{2}")
+#: Groups of digits that are a phone number only where they are called one.
+_CALLED = re.compile(r"(?i:\b(?:call|phone|tel|telephone|mobile|cell|ring)\b\.?:?|☎) (?:me |us )?(?:at |on )?(\d{3} \d{3} \d{4})(?![\w/]|[.-]\d)")
+_PHONE_AT = re.compile(r"\+\d{1,3}[ .(-]?[\d(]|\(\d{3}\) ?\d{3}[-.]\d|\b00[1-9][\d-]|\b0\d{1,4}[ /.-]\d\d|\b[2-9]\d\d[-.]\d{3}[-.]\d{4}\b|\b\d{3} \d{3} \d{4}\b|[۰-۹]{2}")
 _ID = re.compile(
     r"(?<![\w.+/@-])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{3}[- ]\d{2}[- ]\d{4}|[0-9]{10}|[۰-۹]{10}"
     r"|(?:\d{3}-\d{6}-\d|[۰-۹]{3}-[۰-۹]{6}-[۰-۹])|[A-Z]{1,2}\d{7,8}|[XYZ]?\d{7,8}-?[A-Z])(?![\w@-]|\.\d)"
@@ -118,7 +124,7 @@ _ADDRESS_FA = re.compile(
 )
 _ADDRESSES = (_ADDRESS_EN, _ADDRESS_FR, _ADDRESS_ES, _ADDRESS_DE, _ADDRESS_FA)
 
-_WORD = rf"[{_UP}][\w’]*(?:-[{_UP}][\w’]*)?"
+_WORD = rf"[{_UP}](?:[\w’]|'(?=[{_UP}]))*(?:-[{_UP}][\w’]*)?"
 _GIVEN_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD})((?: [{_UP}]\.)?) ({_WORD})(?![\w@/\\]|\.\w)")
 _COMMA_NAME = re.compile(rf"(?<![\w@./\\-])({_WORD}), ([{_UP}]\.|{_WORD})(?![\w@/\\]|\.\w)")
 _INITIAL_NAME = re.compile(rf"(?<![\w@./\\-])[{_UP}]\.(?: ?[{_UP}]\.)? ({_WORD})(?![\w@/\\]|\.\w)")
@@ -147,6 +153,27 @@ def _is_surname(word: str) -> bool:
     return len(word) > 4 and word.casefold().replace("i̇", "i").endswith(_ENDS)
 
 
+# Words that often begin with a capital letter and are no part of a name.
+_ORDINARY = frozenset(
+    "The This That These Those An In On At For From With And Or But If When While After Before Since As By To Of It We You He She "
+    "They I My Our Your His Her Their Its All Some Any Each Every No Not New Old North South East West Central Saint San Santa Los "
+    "Las United Data Figure Table Section Chapter Part Step Note Notes Notebook Python University Institute Department Monday "
+    "Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October "
+    "November December Der Die Das Ein Eine Und Im Le La Les Un Une Et Du Des El Los Una En Y".split()
+)
+
+
+def _shaped(word: str) -> bool:
+    """Whether a word has the shape of a name's part: a capital letter and small ones, or parts of that kind."""
+    parts = re.split("[-'’]", word)
+    return word not in _ORDINARY and len(word) > 1 and all(p[:1].isupper() and (p[1:].islower() or len(p) == 1 or re.fullmatch("Ma?c[A-Z][a-z]+", p)) for p in parts)
+
+
+def _unheard(text: str, *words: str) -> bool:
+    """Whether none of the words stands in small letters in the text, as words of the language do."""
+    return not any(re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text) for w in words)
+
+
 #: Blanks within a line.
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n"]
 #: Beside the kinds: a sign of an e-mail address if a host follows.
@@ -276,6 +303,8 @@ def find(text: str) -> list[Item]:
     for start, end in sorted(places[1]):
         for m in _PHONE.finditer(text, start, end):
             keep(m.start(), m.end(), "phone")
+        for m in _CALLED.finditer(text, start, end):
+            keep(*m.span(1), "phone")
     for start, end in sorted(places[2]):
         for m in _ID.finditer(text, start, end):
             # digits alone are a number of anything, unless they are called one close by
@@ -286,9 +315,60 @@ def find(text: str) -> list[Item]:
     for start, end in sorted(places[4]):
         for a, b in _names(text, start, end):
             keep(a, b, "name")
+    # names told by others of the document: the same in another place, and those that a mail address spells out
+    told = {i.text for i in found if i.kind == "name" and " " in i.text and "," not in i.text}
+    told.update(_spelt_out([i.text for i in found if i.kind == "email"], text))
+    for name in told:
+        for at in _standing(name, text):
+            keep(at, at + len(name), "name")
     return sorted(found, key=lambda i: i.start)
 
 
+def _standing(name: str, text: str) -> Iterator[int]:
+    """Where a name stands by itself, and not as part of a word, a path or an address."""
+    at = text.find(name)
+    while at >= 0:
+        before, after = text[at - 1 : at], text[at + len(name) : at + len(name) + 2]
+        inside = before and (before.isalnum() or before in "_@./\\-")
+        if not inside and not (after and (after[0].isalnum() or after[0] in "_@/\\-" or after[0] == "." and after[1:].isalnum())):
+            yield at
+        at = text.find(name, at + 1)
+
+
+_LOCAL = re.compile(r"([A-Za-z]{2,})[._-]([A-Za-z]{2,})\d*(?:@|\W)")
+
+
+def _spelt_out(mails: list[str], text: str) -> Iterator[str]:
+    """The names of a text, as it writes them, that a mail address such as jo.smith@... is made of."""
+    small = ""
+    for m in filter(None, map(_LOCAL.match, mails)):
+        small = small or text.lower()
+        if len(small) != len(text):  # some capital letter has two small ones
+            small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for a, b in (m.groups(), m.groups()[::-1]):
+            for at in _standing(f"{a} {b}".lower(), small):
+                pair = text[at : at + len(a) + len(b) + 1]
+                if all(map(_shaped, pair.split(" "))):
+                    yield pair
+
+
+#: Two capitalized words: a name where the corpus has it as one elsewhere.
+_MAYBE = re.compile(rf"(?<![\w@./\\'-])([{_UP}]\w+(?:-[{_UP}]\w+)?) ([{_UP}][\w'’]+(?:-[{_UP}]\w+)?)(?![\w@/\\]|\.\w)")
+
+
+def candidates(text: str, found: list[Item]) -> list[Item]:
+    """Pairs of capitalized words outside of what is found, in the shape of a name."""
+    starts, ends = [i.start for i in found], [i.end for i in found]
+    out, at = [], 0
+    while m := _MAYBE.search(text, at):
+        at = m.start(2)
+        k = bisect.bisect_right(starts, m.start()) - 1
+        free = (k < 0 or ends[k] <= m.start()) and (k + 1 == len(starts) or m.end() <= starts[k + 1])
+        if free and _shaped(m.group(1)) and _shaped(m.group(2)):
+            out.append(Item(m.start(), m.end(), MAYBE, m.group()))
+    return out
+
+
 def _address_end(text: str, m: re.Match[str]) -> int:
     """Where an address ends: a full stop after its last word ends a sentence, unless it shortens a street's name."""
     end = m.end()
@@ -314,7 +394,7 @@ def _names(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         cue = _BEFORE_NAME.search(text, max(start, m.start() - 40), m.start())
         if _is_given(given) and not (_is_given(surname) and _follows(text, m.end(), line_end)):
             yield m.start(), m.end()
-        elif cue and (_is_surname(surname) or _is_given(given)):
+        elif cue and (_is_surname(surname) or _is_given(given) or _shaped(given) and _shaped(surname) and _unheard(text, given, surname)):
             yield m.start(), m.end()
         else:
             at = m.start(3)
@@ -325,7 +405,7 @@ def _names(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     for m in _FA_NAME.finditer(text, start, line_end):
         yield m.start(), m.end()
     for m in _LONE_NAME.finditer(text, start, line_end):
-        if _is_surname(m.group(1)) and _TITLE.search(text, max(start, m.start() - 8), m.start()):
+        if _TITLE.search(text, max(start, m.start() - 8), m.start()) and (_is_surname(m.group(1)) or _shaped(m.group(1)) and _unheard(text, m.group(1))):
             yield m.start(), m.end()
 
 
@@ -335,35 +415,33 @@ def _follows(text: str, at: int, end: int) -> bool:
     return bool(m and _is_surname(m.group()[1:]))
 
 
-ITEMS = "doc_id bigint, pii_start int, pii_end int, pii_type string, pii_text string"
+ITEMS = "doc_id bigint, text_hash bigint, pii_start int, pii_end int, pii_type string, pii_text string"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [
-            (doc_id, i)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            for i in find(text)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([d for d, _ in rows], pa.int64()),
-                pa.array([i.start for _, i in rows], pa.int32()),
-                pa.array([i.end for _, i in rows], pa.int32()),
-                pa.array([i.kind for _, i in rows], pa.string()),
-                pa.array([i.text for _, i in rows], pa.string()),
-            ],
-            names=["doc_id", "pii_start", "pii_end", "pii_type", "pii_text"],
-        )
+        rows = []
+        for doc_id, code, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
+            found = find(text)
+            rows += [(doc_id, code, i.start, i.end, i.kind, i.text) for i in (*found, *candidates(text, found))]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        columns = list(zip(*rows)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in ITEMS.split(", ")])
 
 
 def personal_items(documents: DataFrame) -> DataFrame:
-    """Each place of personal data (see :data:`ITEMS`), positions in code points and the end exclusive.
+    """Each place of personal data once (see :data:`ITEMS`), positions in code points and the end exclusive.
 
-    Null and empty texts, and rows without doc_id, have none.
+    Each document is searched by itself first. What is surely a name in one, by its given name, its ending or what
+    stands before it, is then a name wherever the corpus has the same two words. Null and empty texts, and rows without
+    doc_id, have none; rows of one doc_id with different texts are told apart by `text_hash`.
     """
-    rows = documents.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text")
-    return rows.mapInArrow(_items, ITEMS)
+    rows = documents.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    every = settle(rows.mapInArrow(_items, ITEMS).distinct(), "items")
+    sure = every.where(F.col("pii_type") != MAYBE)
+    known = sure.where("pii_type = 'name'").select("pii_text").distinct()
+    told = every.where(F.col("pii_type") == MAYBE).join(known, "pii_text", "left_semi").withColumn("pii_type", F.lit("name"))
+    return sure.unionByName(told)
 
 
 def personal_found(documents: DataFrame) -> DataFrame:

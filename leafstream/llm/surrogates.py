@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from leafstream.llm import personal
 from leafstream.sources.shared import settle
 
-#: Only for tests; a run gives its own secret.
-KEY = "leafstream"
 ROUNDS = 6
 
 _ASCII = str.maketrans("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
@@ -131,14 +129,33 @@ def form(kind: str, text: str) -> str:
     if kind == "id_number":
         return re.sub(r"[\W_]", "", plain).upper()
     if kind == "name":
-        given, surname = _name_parts(plain)
-        return f"{given[:1].casefold()}|{surname.casefold()}"
+        # given names are permuted, so that only surnames can come to share one; all forms of a person have theirs
+        return _name_parts(plain)[1].casefold()
     return re.sub(r"[\W_]+", " ", plain).strip().casefold()
 
 
 # ---- surrogates --------------------------------------------------------------------------------------------
 
 
+# Letters that stand in for each other in given names that no list holds.
+_CLASSES = tuple(map(tuple, ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüåøæ", "çñčćšžğşłďťňř", "بپتثجچحخدذرزژسشصضطظعغفقکگلمنهی", "اآوئ")))
+
+
+def _swapped(word: str, key: str) -> str:
+    """A word with other letters of their own kind between its first and its last, which stay: for initials to agree
+    and for its ending to tell what it told. By place and length a permutation, so that no two words share one."""
+    bare = word.lower()
+    if len(bare) < 3:
+        return word
+    inner = range(1, len(bare) - (1 if len(bare) > 3 else 0))
+    out = list(bare)
+    for at in inner:
+        for letters in _CLASSES:
+            if bare[at] in letters:
+                out[at] = _shuffled(key, f"letters {at} {len(bare)}", letters)[bare[at]]
+    return _like("".join(out), word)
+
+
 def _given(word: str, key: str) -> str:
     if word.endswith("."):
         return word
@@ -152,14 +169,13 @@ def _given(word: str, key: str) -> str:
         ):
             known = {n.casefold(): n for n in names}
             if part.casefold() in known:
-                # within the initial where another name has it, so that "A. Berg" still goes with "Anna Berg"
                 name = known[part.casefold()]
-                same = tuple(n for n in names if n[0] == name[0])
-                pool = same if len(same) > 1 else tuple(names)
-                out.append(_like(_shuffled(key, use + pool[0], pool)[name], part))
+                # of the same initial, so that "A. Berg" still goes with "Anna Berg"; Persian names are not shortened so
+                same = tuple(names) if _persian(part) else tuple(n for n in names if n[0] == name[0])
+                out.append(_like(_shuffled(key, use + same[0], same)[name], part) if len(same) > 1 else _swapped(part, key))
                 break
         else:
-            out.append(_like(_word(_digest(key, "given", part.casefold()), 2, _persian(part)), part))
+            out.append(_swapped(part, key))
     return "-".join(out)
 
 
@@ -176,7 +192,7 @@ def _refill(text: str, digits: str) -> str:
     )
 
 
-def surrogate(kind: str, text: str, key: str = KEY, attempt: int = 0, syllables: int = 3) -> str:
+def surrogate(kind: str, text: str, key: str, attempt: int = 0, syllables: int = 3) -> str:
     """The surrogate of an item, written as the item is; `attempt` is above 0 where an earlier one collided, and
     `syllables` is the length of surnames."""
     if kind == "phone":
@@ -277,7 +293,7 @@ def _maker(key: str, syllables: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 _MADE = "pii_type string, form string, made string, pii_text string, attempt int"
 
 
-def attempts(items: DataFrame, key: str = KEY, most: int = 8, syllables: int = 3) -> DataFrame:
+def attempts(items: DataFrame, key: str, most: int = 8, syllables: int = 3) -> DataFrame:
     """(pii_type, form, attempt) of the items whose first surrogate belongs to another item.
 
     All distinct items are compared by their surrogates; among those that share one, the smallest keeps it and
@@ -325,29 +341,28 @@ def _replacer(key: str, surrogates: bool) -> Callable[[Iterator[pa.RecordBatch]]
     return replace
 
 
-def pseudonymize(documents: DataFrame, key: str = KEY, surrogates: bool = True) -> DataFrame:
+def pseudonymize(documents: DataFrame, key: str, surrogates: bool = True) -> DataFrame:
     """(doc_id, n_items, text): each document with its personal data behind typed placeholders.
 
     A placeholder is the type and the surrogate in brackets, as in ``[NAME: Marel Toran]``, or the type alone
-    without `surrogates`. Null texts stay null. Documents are told apart by doc_id; rows without one are left out.
+    without `surrogates`; the items are those of :func:`personal.personal_items`. `key` is the run's secret. Null texts
+    stay null, repeated rows stay as many, and rows without doc_id are left out.
     """
     items = settle(personal.personal_items(documents), "items")
+    place = ["doc_id", "text_hash"]
     if surrogates:
-        known = items.select("doc_id", "pii_start", "pii_end", "pii_type", "pii_text")
         anew = attempts(items, key)
-        formed = known.mapInArrow(
-            _former, "doc_id bigint, pii_start int, pii_end int, pii_type string, form string"
-        )
+        formed = items.mapInArrow(_former, "doc_id bigint, text_hash bigint, pii_start int, pii_end int, pii_type string, form string")
         tried = formed.join(anew, ["pii_type", "form"], "left").withColumn(
             "attempt", F.coalesce("attempt", F.lit(0))
         )
     else:
         tried = items.withColumn("attempt", F.lit(0))
     # the items of one document: bounded by its length
-    by_document = tried.groupBy("doc_id").agg(
+    by_document = tried.groupBy(*place).agg(
         F.collect_list(F.struct("pii_start", "pii_end", "pii_type", "attempt")).alias("items")
     )
-    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(by_document, "doc_id", "left")
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(by_document, place, "left")
     return rows.mapInArrow(_replacer(key, surrogates), "doc_id bigint, n_items int, text string")
 
 
@@ -356,8 +371,8 @@ def _former(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, texts = batch.column("pii_type").to_pylist(), batch.column("pii_text").to_pylist()
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(c) for c in ("doc_id", "pii_start", "pii_end", "pii_type")],
+                *[batch.column(c) for c in ("doc_id", "text_hash", "pii_start", "pii_end", "pii_type")],
                 pa.array([form(k, t) for k, t in zip(kinds, texts)], pa.string()),
             ],
-            names=["doc_id", "pii_start", "pii_end", "pii_type", "form"],
+            names=["doc_id", "text_hash", "pii_start", "pii_end", "pii_type", "form"],
         )

@@ -91,3 +91,23 @@ def test_canonical(spark):
 def test_copies_make_no_pairs(spark):
     a, b = LATIN, LATIN.replace("o", "о")
     assert len(found(spark, [(i, a) for i in range(300)] + [(999, b)], [])) == 300
+
+
+def test_many_copies_of_one_spelling(spark):
+    """Copies are never compared with each other: 10,000 of one spelling and a variant give 10,000 pairs, and a class."""
+    other = LATIN.replace("o", "о")
+    chunks = [(i, [LATIN]) for i in range(10_000)] + [(10_000, [other])]
+    frames = spark.createDataFrame([], PARTS), spark.createDataFrame(chunks, CHUNKS)
+    pairs = lookalike.alike_found(*frames)
+    assert pairs.count() == 10_000 and pairs.where("id_b = 10000 AND id_a < id_b").count() == 10_000
+    classes = lookalike.alike_classes(*frames)
+    assert {(r["links"], r["count"]) for r in classes.groupBy("links").count().collect()} == {(1, 10_000), (10_000, 1)}
+    assert classes.select("class_id", "class_no").distinct().count() == 1 and classes.count() == 10_001
+
+
+def test_letterlike_forms(spark):
+    """Mathematical letters, letterlike signs and Roman numerals stand for the letters they are made of."""
+    plain = "The house of Norven kept 2314 letters, XII at 20 °C"
+    bold = "".join(chr(0x1D400 + ord(c) - 65) if "A" <= c <= "Z" else chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in "Norven")
+    seen = [plain.replace("Norven", bold), plain.replace("XII", "Ⅻ"), plain.replace("°C", "℃"), plain.replace("house", "hοuѕe"), plain.replace("kept", "keρt")]
+    assert found(spark, [], [(0, [plain]), (1, seen)]) and len(found(spark, [], [(0, [plain]), (1, seen)])) == len(seen) * (len(seen) + 1) // 2

@@ -84,3 +84,15 @@ def test_empty_tables(spark, empty):
 def test_clashing_columns(spark):
     frames = [f.selectExpr("*", "1 AS text", "2 AS max_chars_", "3 AS boundary") for f in tables(spark, [(1, 1, ["x" * 30], 1, None)])]
     assert oversized_found(*frames).count() == 1
+
+
+def test_overlaps_up_to_the_limit():
+    text = " ".join(f"word{i}." for i in range(400))
+    for overlap in (60, 80, 99, 100, 500):
+        pieces = oversized.split(text, 100, overlap)
+        assert all(p.end - p.start <= 100 for p in pieces) and "".join(text[p.start + p.overlap : p.end] for p in pieces) == text
+        assert max(p.overlap for p in pieces) > min(overlap, 99) - 12
+    long = "x" * 50 + "e" + "\u0301" * 90 + "y" * 300
+    pieces = oversized.split(long, 120, 30)
+    assert "".join(long[p.start + p.overlap : p.end] for p in pieces) == long and all(p.end - p.start <= 120 for p in pieces)
+    assert not any(long[p.start + p.overlap] == "\u0301" for p in pieces)

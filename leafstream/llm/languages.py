@@ -58,13 +58,33 @@ def _script_table() -> np.ndarray:
 _SCRIPT_OF = _script_table()
 
 
-def script_counts(text: str) -> dict[str, int]:
-    """Letters by script; a Chinese character counts as two."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+_WORDED = np.array([bool(re.match(r"[^\W_]", chr(c))) for c in range(0x10000)])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _by_script(codes: np.ndarray) -> dict[str, int]:
     found = np.bincount(_SCRIPT_OF[np.minimum(codes, 0xFFFF)], minlength=5).tolist()
     return {script: found[no] * (2 if script == "han" else 1) for no, script in enumerate(_SCRIPTS, 1)}
 
 
+def script_counts(text: str) -> dict[str, int]:
+    """Letters by script; a Chinese character counts as two."""
+    return _by_script(_codes(text))
+
+
+def survey(text: str) -> tuple[dict[str, int], int]:
+    """The letters by script, and how many letters and digits there are in all."""
+    codes = _codes(text)
+    beyond = codes > 0xFFFF
+    letters = int(np.count_nonzero(_WORDED[np.minimum(codes, 0xFFFF)]))
+    if beyond.any():
+        letters += sum(chr(c).isalnum() for c in codes[beyond].tolist())
+    return _by_script(codes), letters
+
+
 def identify(text: str, counts: dict[str, int] | None = None) -> tuple[str, float]:
     """(language, evidence): the language that most speaks for, "" if nothing does; evidence is the number of
     short words by which it leads, large where the script alone decides."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafstream.llm.encoding import repair
-from leafstream.llm.languages import identify, script_counts
+from leafstream.llm.languages import identify, script_counts, survey
 from leafstream.llm.values import once
 from leafstream.sources.shared import settle
 
@@ -150,24 +150,23 @@ _SENTENCE = re.compile("[^.!?。！？؟۔…\n]*\\w[^.!?。！？؟۔…\n]*")
 _STOPPED = re.compile("[.!?。！？؟۔»”\"'’)\\]]\\s*$")
 _OPEN_END = re.compile("[…\\[(«“\\-،,:]\\s*$|\\.\\.\\.\\s*$")
 _NUMBER = re.compile(r"\d+")
-_SAYS = re.compile(r"[\w¤]").search
+#: From the first letter on, up to the next stop or line end.
+_STATEMENT = re.compile("[\\w¤][^.!?。！？؟۔…\n]*")
 _QUOTES = re.compile("[“«„‘\"—]").search
 _SAID = re.compile(r":\s*¤\s*")
 
 
 def units(text: str) -> int:
     """How many statements a text makes: sentences, with a quotation and who said it as one."""
+    if not _QUOTES(text):
+        return len(_STATEMENT.findall(text))
     total = 0
     for line in text.split("\n"):
-        line = line.strip()
-        if not _SAYS(line):
-            continue
-        plain = line
         if _QUOTES(line):
-            plain = _QUOTED.sub(" ¤ ", line)
-            if "¤" in plain:
-                plain = _SAID.sub(" ¤. ", plain)
-        total += max(1, sum(1 for p in _STOP.split(plain) if _SAYS(p)))
+            line = _QUOTED.sub(" ¤ ", line.strip())
+            if "¤" in line:
+                line = _SAID.sub(" ¤. ", line)
+        total += len(_STATEMENT.findall(line))
     return total
 
 
@@ -198,8 +197,8 @@ class Pair:
         self.raw_source, self.raw = source or "", answer or ""
         fixed = repair(self.raw_source, western=False)
         self.source, self.text = core(fixed.text if fixed else self.raw_source), core(self.raw)
-        self.letters, self.source_letters = _letters(self.text), _letters(self.source)
-        self.counts, self.source_counts = script_counts(self.text), script_counts(self.source)
+        self.counts, self.letters = survey(self.text)
+        self.source_counts, self.source_letters = survey(self.source)
         self.language, self.evidence = identify(self.text, self.counts)
         self.origin, _ = identify(self.source, self.source_counts)
         known = sum(self.counts.values())
